@@ -20,19 +20,19 @@ def _order(arrived: str, row_id: str) -> Column:
     return F.struct(F.col(arrived).isNull().alias("late"), F.col(arrived).alias("at"), F.col(row_id).alias("id"))
 
 
-def _with_first(rows: DataFrame, key: str, arrived: str, row_id: str, hot_rows: int) -> DataFrame:
-    """``rows`` with ``_first``, the order of the row to keep; null for identifiers that occur once."""
-    first = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min(_order(arrived, row_id)).alias("_first"), F.count("*").alias("_n"))
-    several = cut(first.where("_n > 1"))
-    cold = rows.join(several.where(F.col("_n") < hot_rows), rows[key] == F.col("_key"), "left").drop("_key", "_n")
-    hot = several.where(F.col("_n") >= hot_rows)  # at most rows / hot_rows of them
+def _with_first(packed: DataFrame, hot_rows: int) -> DataFrame:
+    """``packed`` (identifier ``k``, order ``o``, any ``row``) with ``first``, the order of the row to keep.
+
+    ``first`` is null for identifiers that occur once.
+    """
+    firsts = packed.where("k is not null").groupBy("k").agg(F.min("o").alias("first"), F.count("*").alias("n"))
+    several = cut(firsts.where("n > 1"))
+    hot = several.where(F.col("n") >= hot_rows)  # at most rows / hot_rows of them
+    usual = several.where(F.col("n") < hot_rows).drop("n")
     if hot.isEmpty():
-        return cold
-    sent = F.broadcast(hot.drop("_n"))
-    apart = rows.join(sent, rows[key] == F.col("_key"))
-    rest = rows.join(F.broadcast(hot.select("_key")), rows[key] == F.col("_key"), "left_anti")
-    cold = rest.join(several.where(F.col("_n") < hot_rows), rest[key] == F.col("_key"), "left").drop("_key", "_n")
-    return cold.unionByName(apart.drop("_key"))
+        return packed.join(usual, "k", "left")
+    apart = packed.join(F.broadcast(hot.drop("n")), "k")
+    return packed.join(F.broadcast(hot.select("k")), "k", "left_anti").join(usual, "k", "left").unionByName(apart)
 
 
 def surplus_rows(rows: DataFrame, key: str, arrived: str, row_id: str, *, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -42,9 +42,8 @@ def surplus_rows(rows: DataFrame, key: str, arrived: str, row_id: str, *, hot_ro
     one in id and time too is the same record and isn't surplus; an empty table gives none. Columns besides the three
     named ones aren't read.
     """
-    thin = rows.select(F.col(key), F.col(arrived), F.col(row_id))
-    found = _with_first(thin, key, arrived, row_id, hot_rows)
-    return found.where(F.col("_first").isNotNull() & (_order(arrived, row_id) != F.col("_first"))).select(F.col(row_id).cast("long").alias("record_id"))
+    found = _with_first(rows.select(F.col(key).alias("k"), _order(arrived, row_id).alias("o")), hot_rows)
+    return found.where("first is not null and o != first").select(F.col("o.id").cast("long").alias("record_id"))
 
 
 def first_deliveries(rows: DataFrame, key: str, arrived: str, row_id: str, *, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -52,13 +51,15 @@ def first_deliveries(rows: DataFrame, key: str, arrived: str, row_id: str, *, ho
 
     Of rows that are equal in identifier, time and id, any one is kept.
     """
-    found = _with_first(rows, key, arrived, row_id, hot_rows)
-    kept = found.where(_order(arrived, row_id) == F.col("_first")).dropDuplicates([key])
-    return found.where(F.col("_first").isNull()).unionByName(kept).select(*rows.columns)
+    packed = rows.select(F.col(key).alias("k"), _order(arrived, row_id).alias("o"), F.struct(*rows.columns).alias("row"))
+    found = _with_first(packed, hot_rows)
+    kept = found.where("o = first").dropDuplicates(["k"])
+    return found.where("first is null").unionByName(kept).select("row.*")
 
 
 def new_deliveries(batch: DataFrame, stored: DataFrame, key: str, arrived: str, row_id: str, *, stored_key: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The first deliveries of a batch whose identifier isn't stored yet; rows without one are new."""
-    known = stored.select(F.col(stored_key or key).alias("_stored")).where("_stored is not null").distinct()
+    known = stored.select(F.col(stored_key or key).alias("k")).where("k is not null").distinct()
     once = first_deliveries(batch, key, arrived, row_id, hot_rows=hot_rows)
-    return once.join(known, once[key] == F.col("_stored"), "left_anti")
+    packed = once.select(F.col(key).alias("k"), F.struct(*once.columns).alias("row"))
+    return packed.join(known, "k", "left_anti").select("row.*")

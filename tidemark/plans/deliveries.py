@@ -17,7 +17,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_kept(spark: SparkSession, sf: str) -> DataFrame:
-    parts = [delivery.first_deliveries(tables(spark, sf, name), "source_key", at, key).select(F.lit(name).alias("record_table"), F.col(key).alias("record_id"), "source_key", F.col(at).alias("arrived")) for name, at, key in DELIVERED]
+    parts = [delivery.first_deliveries(tables(spark, sf, name), "source_key", at, key).select(F.lit(name).alias("record_table"), F.col(key).alias("record_id"), "source_key", F.unix_micros(F.col(at)).alias("arrived_us")) for name, at, key in DELIVERED]
     return parts[0].unionByName(parts[1])
 
 
@@ -36,7 +36,7 @@ def _ranked(table: str, at: str, key: str, keep: str, more: str = "") -> str:
 
 ORACLES = {
     "p3_found": " union all ".join(_ranked(t, at, key, "k > 1 and source_key is not null") for t, at, key in DELIVERED),
-    "p3_kept": " union all ".join(_ranked(t, at, key, "k = 1 or source_key is null", f", source_key, {at} as arrived") for t, at, key in DELIVERED),
+    "p3_kept": " union all ".join(_ranked(t, at, key, "k = 1 or source_key is null", f", source_key, epoch_us({at}) as arrived_us") for t, at, key in DELIVERED),
     "p3_new": """
         select delivery_id, source_key from (select *, row_number() over (partition by source_key order by arrived_at nulls last, delivery_id) as k from parsed_turns)
         where (k = 1 or source_key is null) and (source_key is null or source_key not in (select source_key from session_turns where source_key is not null))""",

@@ -47,3 +47,10 @@ def cut(df: DataFrame) -> DataFrame:
 def tables(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One parquet table of a directory of tables."""
     return spark.read.parquet(f"{root}/{name}.parquet")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or what it must become in order to be no column of ``df``."""
+    while name in df.columns:
+        name += "_"
+    return name
