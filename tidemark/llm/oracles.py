@@ -41,7 +41,7 @@ ORACLES: dict[str, str] = {
     "p6_found": f"with {_TALK} select session_id from dropped",
     "p6_conversations": f"""
         with {_TALK}
-        select session_id, row_number() over (partition by session_id order by created_at, id) - 1 as position, r as role, content, created_at, id
+        select session_id, row_number() over (partition by session_id order by created_at, id) - 1 as position, r as role, content, epoch_us(created_at) as created_us, id
         from talk where session_id not in (select session_id from dropped)""",
     "p9_found": r"""
         with w as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as ws from documents where text is not null),

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.feistel import permute_date, permute_digits
+from tidemark.session import free_name
 
 KINDS = ("email", "phone", "identity_number", "street_address", "person_name")
 
@@ -348,7 +349,8 @@ def redact_personal(df: DataFrame, text: str, key: str = "tidemark", *, redacted
 
     run = F.pandas_udf(run, f"struct<{redacted}: string, {found}: array<struct<start: int, end: int, kind: string, pseudonym: string>>>")
     keep = [c for c in df.columns if c not in (redacted, found)]
-    return df.select(*keep, run(F.col(text)).alias("_both")).select(*keep, f"_both.{redacted}", f"_both.{found}")
+    both = free_name(df, "both")
+    return df.select(*keep, run(F.col(text)).alias(both)).select(*keep, f"{both}.{redacted}", f"{both}.{found}")
 
 
 def find_personal(df: DataFrame, record_id: str, text: str, *, key: str = "tidemark") -> DataFrame:

@@ -62,7 +62,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_conversations(spark: SparkSession, sf: str) -> DataFrame:
-    return conversations.conversations(tables(spark, sf, "session_turns")).select("session_id", "position", "role", "content", "created_at", "id")
+    return conversations.conversations(tables(spark, sf, "session_turns")).select("session_id", "position", "role", "content", F.unix_micros("created_at").alias("created_us"), "id")
 
 
 def p6_split_at_gaps(spark: SparkSession, sf: str) -> DataFrame:
