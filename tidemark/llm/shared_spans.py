@@ -34,10 +34,23 @@ def line_duplicates(docs: DataFrame, doc_id: str, text: str, *, least_chars: int
     """
     norm: Column = F.regexp_replace(F.regexp_replace(F.col("line"), r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " ")
     lines = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.split(F.col(text), "\n", -1).alias("ls")).where("ls is not null")
-    ends = F.aggregate("ls", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x) + 1)))
-    rows = lines.select("doc_id", F.posexplode("ls").alias("k", "line"), ends.alias("ends"))
-    rows = rows.select("doc_id", (F.col("k") + 1).alias("line_no"), F.element_at("ends", F.col("k") + 1).alias("start"), F.length("line").alias("length"), norm.alias("n"))
-    rows = cut(rows.where(F.length("n") >= least_chars).select("doc_id", "line_no", "start", "length", F.xxhash64("n").alias("d1"), F.hash("n").alias("d2")))
+
+    def offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs_, numbers, starts, parts = [], [], [], []
+            for doc, ls in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at = 0
+                for k, line in enumerate(ls):
+                    docs_.append(doc)
+                    numbers.append(k + 1)
+                    starts.append(at)
+                    parts.append(line)
+                    at += len(line) + 1
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((docs_, numbers, starts, parts), kinds, strict=True)], names=["doc_id", "line_no", "start", "line"])
+
+    rows = lines.mapInArrow(offsets, "doc_id long, line_no int, start int, line string").withColumn("n", norm)
+    rows = cut(rows.where(F.length("n") >= least_chars).select("doc_id", "line_no", "start", F.length("line").alias("length"), F.xxhash64("n").alias("d1"), F.hash("n").alias("d2")))
     firsts = rows.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line_no")).alias("f"), F.count("*").alias("c")).where("c > 1").drop("c")
     found = rows.join(firsts, ["d1", "d2"]).where("doc_id != f.doc_id or line_no != f.line_no")
     return found.select("doc_id", "line_no", "start", "length", F.col("f.doc_id").alias("first_doc"), F.col("f.line_no").alias("first_line"))
@@ -170,18 +183,49 @@ def shared_spans(docs: DataFrame, doc_id: str, text: str, *, least: int = 300, w
     return between.union(within).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).where("doc_a < doc_b").distinct()
 
 
+def _fringes(texts: DataFrame, spans: DataFrame, least: int, beside: int) -> DataFrame:
+    """``doc``, ``s``, ``e`` of the stretches of ``least`` characters that reach beyond a span and stand in another text too.
+
+    A stretch that two texts share holds a mark, so it lies within ``beside`` characters of a span of each; only those
+    few around each end of a span are hashed and counted.
+    """
+    at = spans.groupBy("doc").agg(F.collect_set(F.struct("s", "e")).alias("spans"))  # the distinct spans of one text
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, starts, hashes = [], [], []
+            for doc, around, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                h = window_hashes(code_points(text), least)
+                near: set[int] = set()
+                for one in around:
+                    s, e = one["s"], one["e"]
+                    first, last = max(0, s - beside), min(len(h) - 1, e + beside - least)
+                    near.update(i for i in range(first, last + 1) if i < s or i + least > e)
+                if near:
+                    i = np.array(sorted(near), np.int32)
+                    docs.append(np.full(len(i), doc, np.int64))
+                    starts.append(i)
+                    hashes.append(h[i].view(np.int64))
+            if docs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (docs, starts, hashes)], names=["doc", "s", "h"])
+
+    hashed = cut(at.join(texts, "doc").select("doc", "spans", "text").mapInArrow(run, "doc long, s int, h long"))
+    twice = hashed.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a != b").select("h")
+    return hashed.join(twice, "h", "left_semi").select("doc", "s", (F.col("s") + least).alias("e"))
+
+
 def shared_amounts(docs: DataFrame, doc_id: str, text: str, *, least: int = 300, window: int = 241) -> DataFrame:
     """``doc_id``, ``n_chars``, ``shared_chars``: how much of each record also stands in another, in spans of at least ``least``.
 
-    A record of which copies exist is shared as a whole. Records without text have 0 of 0. Pairs aren't written out where
-    the hub shows the span already.
+    A record of which copies exist is shared as a whole if it has ``least`` characters. Records without text have 0 of 0.
+    No pair of records is written out but the edges to hubs.
     """
     texts, members = _text_classes(docs, doc_id, text, least)
     star = cut(edges(texts, least=least, window=window))
-    long_ = star.where((F.col("length") >= least) & (F.col("hub") != F.col("doc")))
-    spans = long_.select("doc", F.col("doc_start").alias("s"), (F.col("doc_start") + F.col("length")).alias("e")).union(long_.select("hub", "hub_start", F.col("hub_start") + F.col("length")))
-    weak = _spoke_pairs(star.where(F.col("length") < least + window), least, window)
-    spans = spans.union(weak.select("doc_a", "start_a", F.col("start_a") + F.col("length"))).union(weak.select("doc_b", "start_b", F.col("start_b") + F.col("length"))).distinct()
+    sides = star.select("doc", F.col("doc_start").alias("s"), (F.col("doc_start") + F.col("length")).alias("e"), (F.col("hub") != F.col("doc")).alias("other"))
+    sides = sides.union(star.select("hub", "hub_start", F.col("hub_start") + F.col("length"), F.col("hub") != F.col("doc"))).distinct()
+    spans = sides.where(F.col("other") & (F.col("e") - F.col("s") >= least)).select("doc", "s", "e")
+    spans = spans.union(_fringes(texts, sides.select("doc", "s", "e").distinct(), least, least - window)).distinct()
     before = F.max("e").over(Window.partitionBy("doc").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1))
     covered = spans.withColumn("b", F.coalesce(before, F.lit(0))).select("doc", F.greatest(F.lit(0), F.col("e") - F.greatest("s", "b")).alias("n")).groupBy("doc").agg(F.sum("n").alias("shared"))
     copies = members.groupBy("doc").agg(F.count("*").alias("c"))
