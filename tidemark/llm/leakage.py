@@ -52,7 +52,8 @@ class _Index:
     def __init__(self, items: list[tuple[int, str]], min_words: int, q: int, edits: int) -> None:
         self.q, self.min_words, self.edits = q, min_words, edits
         self.words: dict[int, list[str]] = {}
-        self.need: dict[int, int] = {}
+        self.need: dict[int, int] = {}  # q-grams that a passage must share in all
+        self.run: dict[int, int] = {}  # and in one piece
         hashes, owner, at = [], [], []
         self.longest = 0
         for item, text in items:
@@ -63,7 +64,10 @@ class _Index:
             self.words[item] = words
             ends = np.cumsum([0, *(len(w) + 1 for w in words)])
             least = int((ends[min_words:] - ends[:-min_words]).min()) + 1
-            self.need[item] = max(1, least + 1 - (edits + 1) * q)
+            # An edit of a word destroys the q-grams that touch it; between the edits one run of words stays whole.
+            self.need[item] = max(1, least + 1 - q - edits * (q + max(map(len, words))))
+            whole = -(-(min_words - edits) // (edits + 1))
+            self.run[item] = max(1, int((ends[whole:] - ends[:-whole]).min()) + 2 - q)
             h = window_hashes(x, q)
             hashes.append(h)
             owner.append(np.full(len(h), item, np.int64))
@@ -91,6 +95,10 @@ class _Index:
             return []
         index = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(len(pos))
         item, diagonal = self.owner[index], pos - self.at[index]
+        keep = self._with_runs(item, diagonal, pos)
+        if not len(keep):
+            return []
+        item, diagonal = item[keep], diagonal[keep]
         step = self.q + 8 * self.edits
         regions: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for shift in (0, 1):
@@ -114,6 +122,15 @@ class _Index:
                 out.append((one, best))
         return out
 
+    def _with_runs(self, item: np.ndarray, diagonal: np.ndarray, pos: np.ndarray) -> np.ndarray:
+        """The hits of items of which a long enough piece stands on one diagonal."""
+        order = np.lexsort((pos, diagonal, item))
+        i, d, p = item[order], diagonal[order], pos[order]
+        starts = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1)]))
+        lengths = np.diff(np.concatenate([starts, [len(i)]]))
+        good = {int(one) for one, n in zip(i[starts], lengths, strict=True) if n >= self.run[int(one)]}
+        return np.flatnonzero(np.isin(item, list(good))) if good else np.zeros(0, np.int64)
+
     def _aligned(self, x: np.ndarray, item: int, low: int, high: int) -> int:
         """Aligns the item with the stretch of the text that its diagonals ``low`` to ``high`` can reach."""
         size = sum(map(len, self.words[item])) + len(self.words[item]) + 1
