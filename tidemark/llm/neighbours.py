@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.sampling import hash_sample
 from tidemark.session import cut
 
 
@@ -120,7 +121,7 @@ def _nearest_classes(vectors: DataFrame, k: int, postings: int, length: int, can
     schema = "id long, neighbour long, cosine double"
     n = vectors.count()
     want = min(max_pivots, max(postings + 4, n * postings // file_size))
-    sample = vectors.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(min(max_local, max(want, min(max_local, n // 64)))).collect()
+    sample = hash_sample(vectors, ["id"], min(max_local, max(want, n // 64)), total=n).collect()
     if len(sample) < 2:
         return vectors.sparkSession.createDataFrame([], schema)
     local = np.array([r["vec"] for r in sample], np.float32)
