@@ -29,10 +29,12 @@ def _with_first(packed: DataFrame, hot_rows: int) -> DataFrame:
     several = cut(firsts.where("n > 1"))
     hot = several.where(F.col("n") >= hot_rows)  # at most rows / hot_rows of them
     usual = several.where(F.col("n") < hot_rows).drop("n")
+    keyed = packed.where("k is not null")  # the others would all meet in one task
+    alone = packed.where("k is null").withColumn("first", F.lit(None).cast(firsts.schema["first"].dataType))
     if hot.isEmpty():
-        return packed.join(usual, "k", "left")
-    apart = packed.join(F.broadcast(hot.drop("n")), "k")
-    return packed.join(F.broadcast(hot.select("k")), "k", "left_anti").join(usual, "k", "left").unionByName(apart)
+        return keyed.join(usual, "k", "left").unionByName(alone)
+    apart = keyed.join(F.broadcast(hot.drop("n")), "k")
+    return keyed.join(F.broadcast(hot.select("k")), "k", "left_anti").join(usual, "k", "left").unionByName(apart).unionByName(alone)
 
 
 def surplus_rows(rows: DataFrame, key: str, arrived: str, row_id: str, *, hot_rows: int = HOT_ROWS) -> DataFrame:

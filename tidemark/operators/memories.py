@@ -113,17 +113,18 @@ def classify(similarity: Column, *, supersede: Column, settings: Settings = DEFA
     )
 
 
-def preview_writes(memories: DataFrame, writes: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def preview_writes(memories: DataFrame, writes: DataFrame, settings: Settings = DEFAULTS, *, block: int = 20_000) -> DataFrame:
     """``write_id``, ``nearest_id``, ``similarity``, ``action`` of each write against the store as it stands.
 
     Writes meet the open memories of their own namespace and category only. Both sides of a category are compared block by
     block; a write keeps the best of each block, so one row for each block is all that is shuffled.
     """
-    keys = ["namespace", "category"]
-    open_ = memories.where("valid_at is null").select(*keys, "id", "embedding")
-    blocks = 64
-    spread = open_.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    copied = writes.select(*keys, "write_id", F.col("embedding").alias("_v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_b"))
+    key = F.concat_ws("|", "namespace", "category").alias("_k")
+    open_ = memories.where("valid_at is null").select(key, "id", "embedding")
+    sizes = open_.groupBy("_k").agg(F.ceil(F.count("*") / block).alias("_n"))
+    spread = open_.join(sizes, "_k").withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_n"))).drop("_n")
+    copied = writes.select(key, "write_id", F.col("embedding").alias("_v")).join(sizes, "_k")
+    copied = copied.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).drop("_n")
 
     def best(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"write_id": pd.Series(dtype="int64"), "nearest_id": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
@@ -142,7 +143,7 @@ def preview_writes(memories: DataFrame, writes: DataFrame, settings: Settings =
             parts.append(pd.DataFrame({"write_id": a["write_id"].to_numpy(), "nearest_id": b["id"].to_numpy()[at], "similarity": s[np.arange(len(a)), at]}))
         return pd.concat(parts) if parts else empty
 
-    found = copied.groupBy(*keys, "_b").cogroup(spread.groupBy(*keys, "_b")).applyInPandas(best, "write_id long, nearest_id long, similarity double")
+    found = copied.groupBy("_k", "_b").cogroup(spread.groupBy("_k", "_b")).applyInPandas(best, "write_id long, nearest_id long, similarity double")
     top = found.groupBy("write_id").agg(F.max_by(F.struct("nearest_id", "similarity"), F.struct("similarity", (-F.col("nearest_id")).alias("i"))).alias("b"))
     out = writes.select("write_id", F.coalesce("supersede", F.lit(False)).alias("_s")).join(top, "write_id", "left")
     sim = F.col("b.similarity")

@@ -87,8 +87,10 @@ def upsert(stored: DataFrame, batch: DataFrame, order: str = "created_at") -> tu
     once = cut(once.select(*batch.columns).unionByName(batch.where(F.col("source_key").isNull())))
     known = stored.where(F.col("source_key").isNotNull()).select("source_key")
     new = once.join(known, "source_key", "left_anti").select(*batch.columns)
-    fills = once.where(F.col("source_key").isNotNull()).select("source_key", F.col("project").alias("_p"), F.col("git_branch").alias("_b"), F.col("tool_names").alias("_t"))
-    filled = stored.join(fills, "source_key", "left").select(
+    fills = once.where(F.col("source_key").isNotNull()).select(F.col("source_key").alias("_key"), F.col("project").alias("_p"), F.col("git_branch").alias("_b"), F.col("tool_names").alias("_t"))
+    # Rows without a key get one of their own, else they would all meet in one task.
+    own = F.coalesce("source_key", F.concat(F.lit("\0"), F.col("id").cast("string")))
+    filled = stored.join(fills, own == F.col("_key"), "left").select(
         *[
             F.coalesce("_p", "project").alias(c) if c == "project"
             else F.coalesce("_b", "git_branch").alias(c) if c == "git_branch"
