@@ -127,7 +127,8 @@ PATTERNS: dict[str, str] = {
     "assignment": rf"(?i)(?<![A-Za-z0-9])[\"']?(?P<k>[\w.-]{{0,60}}?{NAME})[\"']?\s*(?::=|=>|[:=])\s*(?P<q>[\"'`]?)(?P<v>[^\s\"'`]{{1}}[^\n\"'`]{{0,400}})",
     "element": rf"(?i)<(?P<k>[\w.-]{{0,40}}{NAME})>(?P<v>[^<>\n]{{4,200}})</",
     "split_key": r"(?i)[\w.-]{0,60}(?:key|secret|token|passw(?:or)?d)[\"']?\s*[:=]\s*[\"'](?P<v>[A-Za-z0-9+/=_-]{6,})[\"']\s*\+\s*[\"'](?P<w>[A-Za-z0-9+/=_-]{4,})[\"']",
-    "said_password": r"(?i)\b(?:password|passwort|contraseña|passphrase|passcode)\s+(?:is|was|ist|lautet|es|now)\s+[\"'`]?(?P<v>[^\s\"'`]{6,})",
+    "said_password": r"(?i)\b(?:password|passwort|kennwort|contraseña|passphrase|passcode)\s+(?:is|was|ist|lautet|es|now)\s+[\"'`]?(?P<v>[^\s\"'`]{6,})",
+    "password_of": r"(?i)\b(?:password|passwort|kennwort|contraseña|clave|passphrase|token)\s+(?:for|of|für|von|de|del|para)\s+[^\s:]+\s+(?:is|was|ist|lautet|es|era)\s+[\"'`]?(?P<v>[^\s\"'`]{5,})",
     "password_for": r"(?i)\b(?:passwd|password|passphrase|token)\s+(?:for|of|für|de)\s+[^\s:]+:\s*[\"'`]?(?P<v>[^\s\"'`]{5,})",
     "netrc": r"(?i)\bmachine\s+\S+\s+login\s+\S+\s+password\s+(?P<v>\S{4,})",
     "login_pair": r"(?i)\b(?:log ?in|sign in|logged in|anmelden|entra)\s+(?:with|as|mit|con)\s+\S+\s?/\s?(?P<v>[^\s,;]{5,})",
@@ -136,13 +137,14 @@ PATTERNS: dict[str, str] = {
     "user_flag": r"(?i)\b(?:curl|wget|http)\b[^\n]{0,200}?\s(?:-u|--user)[ =][\"']?[^\s:\"'$]+:(?P<v>[^\s\"']{4,})",
     "long_flag": r"(?i)(?<![\w-])--(?:password|passwd|pass|token|api-key|auth-token|secret|access-key|secret-key)[= ](?P<q>[\"']?)(?P<v>[^\s\"']{6,})",
     "connect_call": r"(?i)\b(?:connect|login|authenticate|create_?client|auth)\(\s*(?:[\"'][^\"'\n]*[\"']\s*,\s*){1,3}[\"'](?P<v>[^\"'\n]{4,})[\"']\s*\)",
-    "said_key": r"(?i)(?:\bkey\b[^:\n]{0,40}:|密钥[:：是为]?|令牌[:：是为]?|密码[:：是为]|口令[:：是为])\s*[\"'`]?(?P<v>[A-Za-z0-9+/=_.!@#$%^&*~-]{16,})",
+    "said_key": r"(?i)(?:\bkey\b[^:\n]{0,40}:|密钥[:：是为]?|令牌[:：是为]?)\s*[\"'`]?(?P<v>[A-Za-z0-9+/=_.!@#$%^&*~-]{16,})",
+    "said_password_zh": r"(?:密码|口令)(?:[:：]|是|为)\s*[\"'`]?(?P<v>[!-~]{5,})",
     "shown_file": r"(?im)^[^\n]*\b(?:cat|type|less|more|head)\s+\S*(?:credential|secret|token|passwd|\.netrc|\.pgpass|id_rsa)\S*[^\S\n]*\r?\n[^\S\n]*(?P<v>[A-Za-z0-9+/=_.~!@#$%^&*-]{16,})[^\S\n]*\r?$",
 }
 
 # Values that stand for a secret without being one.
 PLACEHOLDER = re.compile(
-    r"(?i)^(?:\$[\w{(]|%\w+%|\{\{|<|\[|\*{2,}|x{4,}|\.{3}|#\{|(?:your|my|the|some|insert|change|replace|enter|put|example|dummy|sample|placeholder|redacted|masked|hidden|todo|none|null|nil|true|false|undefined|empty|secret|password|token)(?:[_\- ]|$)|changeme|xxx)"
+    r"(?i)^(?:\$[\w{(]|%[A-Z_]+%$|\{\{|<|\[|\*{2,}|x{4,}|\.{3}|#\{|(?:your|my|the|some|insert|change|replace|enter|put|example|dummy|sample|placeholder|redacted|masked|hidden|todo|none|null|nil|true|false|undefined|empty|secret|password|token)(?:[_\- ]|$)|changeme|xxx)"
     r"|(?:^|[\W_])(?:redacted|masked|placeholder|your[_-]?\w+[_-]here|changeme)(?:$|[\W_])"
 )
 CODE_VALUE = re.compile(
@@ -231,7 +233,7 @@ class Detector:
                 continue
             if PLACEHOLDER.search(value):
                 continue
-            if form in ("client_flag", "cache_flag", "user_flag", "netrc", "login_pair", "connect_call", "said_password", "password_for", "element") and not _is_password(value):
+            if form in ("client_flag", "cache_flag", "user_flag", "netrc", "login_pair", "connect_call", "said_password", "said_password_zh", "password_of", "password_for", "element") and not _is_password(value):
                 continue
             if form in ("bearer", "header_key", "url_parameter", "said_key", "shown_file", "long_flag", "webhook") and not (_is_token(value) or form == "long_flag" and _is_password(value)):
                 continue
