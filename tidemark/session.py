@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,7 +24,7 @@ def build_session(name: str = "tidemark", master: str | None = None, **conf: obj
         "spark.ui.showConsoleProgress": "false",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | {k: str(v) for k, v in conf.items()}
-    return builder.config(map=settings).getOrCreate()
+    return ship(builder.config(map=settings).getOrCreate())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,3 +56,17 @@ def free_name(df: DataFrame, name: str) -> str:
     while name in df.columns:
         name += "_"
     return name
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the Python workers, once for a session; they need not share the driver's import path."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_tidemark_shipped", False):
+        root = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="tidemark-")) / "tidemark.zip"  # read by the driver's file server alone
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for path in sorted(root.rglob("*.py")):
+                z.write(path, Path("tidemark") / path.relative_to(root))
+        sc.addPyFile(str(archive))
+        sc._tidemark_shipped = True
+    return spark
