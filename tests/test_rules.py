@@ -184,3 +184,28 @@ def test_middle_out(spark):
     a, b = [r[0] for r in df.collect()]
     assert len(a) == 180 and a.startswith("HEAD\nTRANSCRIPT:a") and a.endswith("b") and "MID" not in a and b == "short"
     assert spark.createDataFrame([(long,)], "t string").select(dataset.middle_out(F.col("t"), 2)).first()[0] is None
+
+
+def test_request_keys_and_memo():
+    a, f = hashing.request_key(" Tabs ", {"k": 5, "w": "7d"})
+    b, g = hashing.request_key("tabs", {"w": "7d", "k": 5})
+    assert (a, f) == (b, g) != hashing.request_key("tabs", {"w": "7d", "k": 6})
+    now = [0.0]
+    memo = cache.ResultMemo(size=2, ttl=10, clock=lambda: now[0])
+    assert memo.get("a", 1, lambda: "x") == "x" and memo.get("a", 1, lambda: "y") == "x"
+    now[0] = 11
+    assert memo.get("a", 1, lambda: "y") == "y"
+    assert memo.get("a", 2, lambda: "z") == "z" and ("a", 1) not in memo.kept
+    memo.get("b", 2, lambda: 1)
+    memo.get("c", 2, lambda: 1)
+    assert ("a", 2) not in memo.kept and (memo.hits, memo.misses) == (1, 5)
+
+
+def test_widths_and_costs(spark):
+    df = spark.createDataFrame([([1.0, 2.0],), (None,)], "e array<float>")
+    assert len(df.select(validation.require_width(F.col("e"), 2)).collect()) == 2
+    with pytest.raises(Exception, match="must have 3 numbers"):
+        df.select(validation.require_width(F.col("e"), 3)).collect()
+    got = spark.createDataFrame([("m", 2_000_000, 1_000_000, 7200.0)], "model string, input_tokens long, output_tokens long, wall double")
+    assert evaluation.token_cost(got, {"m": (3.0, 15.0)}).first()["cost"] == 21.0
+    assert got.select(evaluation.local_cost(F.col("wall"), 0.5)).first()[0] == 1.0

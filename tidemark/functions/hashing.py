@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,13 @@ def position(value: str) -> float:
     return int.from_bytes(hashlib.blake2b(value.encode(), digest_size=8).digest(), "big") / 2**64
 
 
+def request_key(query: str, params: dict[str, object]) -> tuple[str, str]:
+    """The key of a request, which its query's case and outer white space don't change, and the fingerprint of its parameters."""
+    plain = json.dumps(params, sort_keys=True, default=str)
+    whole = json.dumps({"q": query.strip().lower(), "p": plain}, sort_keys=True)
+    return hashlib.blake2b(whole.encode(), digest_size=16).hexdigest(), hashlib.blake2b(plain.encode(), digest_size=8).hexdigest()
+
+
 @F.pandas_udf(T.DoubleType())
 def stable_position(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else position(v))

@@ -107,3 +107,10 @@ def draft_violations(draft: Column, keys: Column | None = None) -> Column:
     if keys is not None:
         rules["extra_keys"] = F.size(F.array_except(keys, F.array(*map(F.lit, ("narrative", "highlights", "preferences", "open_threads"))))) > 0
     return _violations(rules)
+
+
+def require_width(embedding: Column, dim: int) -> Column:
+    """The embedding; a run fails on one of another width. Nulls pass."""
+    right = embedding.isNull() | (F.size(embedding) == dim)
+    error = F.raise_error(F.concat(F.lit(f"embedding must have {dim} numbers, not "), F.size(embedding).cast("string")))
+    return F.when(right, embedding).otherwise(error.cast("array<float>"))

@@ -2,14 +2,48 @@
 
 from __future__ import annotations
 
+import time
+from collections import OrderedDict
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULTS, Settings
+from tidemark.functions.decay import instant
 from tidemark.functions.vectors import dot
 
+class ResultMemo:
+    """Results by request key for one version of the store: at most ``size`` of them, each for ``ttl`` seconds.
+
+    A write publishes a new version, so what was kept before it is never served after it.
+    """
+
+    def __init__(self, size: int = 128, ttl: float = 300.0, clock: Callable[[], float] = time.monotonic) -> None:
+        self.size, self.ttl, self.clock = size, ttl, clock
+        self.kept: OrderedDict[tuple[str, int], tuple[float, object]] = OrderedDict()
+        self.hits = self.misses = 0
+
+    def get(self, key: str, version: int, compute: Callable[[], object]) -> object:
+        now = self.clock()
+        found = self.kept.get((key, version))
+        if found and now - found[0] < self.ttl:
+            self.kept.move_to_end((key, version))
+            self.hits += 1
+            return found[1]
+        self.misses += 1
+        value = compute()
+        for old in [k for k in self.kept if k[1] != version]:
+            del self.kept[old]
+        self.kept[(key, version)] = (now, value)
+        self.kept.move_to_end((key, version))
+        while len(self.kept) > self.size:
+            self.kept.popitem(last=False)
+        return value
+
+
 THRESHOLDS = tuple(round(0.70 + 0.025 * i, 3) if i < 11 else (0.97, 0.99)[i - 11] for i in range(13))
 SWEEP = "threshold double, requests int, exact_hits int, semantic_hits int, misses int, false_hits int, refused_ambiguous int, refused_below_threshold int"
 
@@ -21,8 +55,6 @@ def decide(queries: DataFrame, entries: DataFrame, as_of, settings: Settings = D
     than the margin ahead of the next, isn't served. Queries and entries meet by fingerprint and the best two of each
     query are an aggregate, so entries of one fingerprint aren't gathered.
     """
-    from tidemark.functions.decay import instant
-
     live = entries.where(F.col("expires_at") > instant(as_of)).select("fingerprint", "entry_id", F.col("embedding").alias("_e"))
     met = queries.select("query_id", "fingerprint", F.col("embedding").alias("_q")).join(live, "fingerprint").withColumn("s", dot(F.col("_q"), F.col("_e"))).where("s is not null")
     ranked = F.struct("s", (-F.col("entry_id")).alias("i"))
@@ -41,8 +73,6 @@ def decide(queries: DataFrame, entries: DataFrame, as_of, settings: Settings = D
 
 def round_robin(queries: DataFrame, rounds: int = 2) -> DataFrame:
     """The workload: ``rounds`` times the first of every group, then the second of every group, and so on."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("query_group").orderBy("query")
     ranked = queries.withColumn("idx", F.row_number().over(w))
     every = ranked.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))

@@ -31,3 +31,8 @@ def token_cost(rows: DataFrame, prices: dict[str, tuple[float, float]]) -> DataF
     table = F.create_map(*[x for m, (i, o) in prices.items() for x in (F.lit(m), F.struct(F.lit(float(i)).alias("i"), F.lit(float(o)).alias("o")))])
     p = F.element_at(table, F.col("model"))
     return out.withColumn("cost", F.col("input_tokens") / 1e6 * p["i"] + F.col("output_tokens") / 1e6 * p["o"])
+
+
+def local_cost(wall_seconds: Column, rate_per_hour: float) -> Column:
+    """What a run on one's own machine costs at an hourly rate."""
+    return wall_seconds / 3600.0 * rate_per_hour
