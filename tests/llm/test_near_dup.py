@@ -50,6 +50,46 @@ def test_groups_have_a_row_for_each_record(spark):
     assert near_dup.groups(df.limit(0), "id", "content").count() == near_dup.similar_pairs(df.limit(0), "id", "content").count() == 0
 
 
+def expected(rows, t):
+    sets = {i: frozenset(re.findall(r"[^\W_]+", x.lower())) for i, x in rows}
+    near = {i: {sets[j] for j in sets if sets[j] != s and len(s & sets[j]) >= t * len(s | sets[j]) - 1e-9} for i, s in sets.items()}
+    group = {i: i for i in sets}
+    changed = True
+    while changed:
+        changed = False
+        for i, s in sets.items():
+            low = min(group[j] for j in sets if sets[j] == s or sets[j] in near[i])
+            changed |= low < group[i]
+            group[i] = min(group[i], low)
+    return {i: (group[i], len(near[i])) for i in sets}
+
+
+@pytest.mark.parametrize("block", [512, 20])
+def test_groups_count_every_link_of_a_large_group(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    rng = random.Random(5)
+    rows = []
+    for i in range(240):
+        words = [f"c{k}" for k in range(24)]
+        for _ in range(3):
+            words[rng.randrange(24)] = f"v{rng.randrange(40)}"
+        rows.append((i, " ".join(words)))
+    got = {r["id"]: (r["group_id"], r["n_links"]) for r in near_dup.groups(spark.createDataFrame(rows, "id long, content string"), "id", "content", threshold=0.7).collect()}
+    assert got == expected(rows, 0.7)
+
+
+@pytest.mark.parametrize("t", [0.4, 0.7, 0.8])
+def test_groups_of_short_and_long_texts(spark, t):
+    rng = random.Random(6)
+    rows = []
+    for i in range(150):
+        n = rng.choice([1, 2, 3, 4, 60, 64, 66, 80])
+        start = rng.randrange(8)
+        rows.append((i, " ".join(f"w{k}" for k in range(start, start + n) if n < 5 or rng.random() < 0.95)))
+    got = {r["id"]: (r["group_id"], r["n_links"]) for r in near_dup.groups(spark.createDataFrame(rows, "id long, content string"), "id", "content", threshold=t).collect()}
+    assert got == expected(rows, t)
+
+
 def test_signature_estimates_similarity():
     import numpy as np
 

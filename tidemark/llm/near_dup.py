@@ -6,12 +6,17 @@ first filled bin on its own random walk (optimal densification). ``rows`` succes
 gives edges from its members to its first ``hubs`` members in an order that differs by bucket, so their number grows with
 the members and not with their square; the rest of a bucket is reached over the hubs: linked classes are closed over
 common neighbours, also weakly linked ones, until no new link appears. Every edge is checked on the words themselves.
+
+Groups and the numbers of links, which need no list of pairs, are counted exactly, by the rarest words in common.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,12 +88,8 @@ def _check(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").withColumn("_i", both).select("a", "b", (F.col("_i") / (F.col("na") + F.col("nb") - F.col("_i"))).alias("sim")).where(F.col("sim") >= least - 1e-12)
 
 
-def links(classes: DataFrame, *, threshold: float, bands: int, rows: int, hubs: int, close: bool = True) -> DataFrame:
-    """``a``, ``b``, ``sim``: the linked pairs of classes.
-
-    With ``close``, the links over common neighbours are added until none is new; without, the star edges are enough to
-    hold every group together.
-    """
+def links(classes: DataFrame, *, threshold: float, bands: int, rows: int, hubs: int) -> DataFrame:
+    """``a``, ``b``, ``sim``: the linked pairs of classes; links over common neighbours are added until none is new."""
     hashed = classes.select("cls", "n", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
     spread = hashed.select("cls", "n", F.explode(bucket_keys(bands, rows)("h")).alias("bucket"))
     w = Window.partitionBy("bucket").orderBy(F.xxhash64("cls", "bucket"), "cls")
@@ -99,9 +100,6 @@ def links(classes: DataFrame, *, threshold: float, bands: int, rows: int, hubs:
     fits = F.least("n", "hub.n") >= F.greatest("n", "hub.n") * (threshold - WEAK)
     edges = stars.where((F.col("hub.cls") != F.col("cls")) & fits).select(F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b")).distinct()
     checked = cut(_check(edges, classes, threshold - WEAK))
-    strong = checked.where(F.col("sim") >= threshold - 1e-12)
-    if not close:
-        return strong
     seen, fresh = checked, checked
     while True:
         way = seen.select("a", "b").union(seen.select("b", "a")).toDF("hub", "x")
@@ -129,15 +127,133 @@ def similar_pairs(df: DataFrame, record_id: str, text: str, *, threshold: float
     return between.unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).where("id_a < id_b").distinct()
 
 
-def groups(df: DataFrame, record_id: str, text: str, *, threshold: float = 0.8, bands: int = 64, rows: int = 8, hubs: int = 4) -> DataFrame:
-    """``id``, ``group_id`` (the least id linked to it, over any number of steps) and ``n_links`` of its class.
+BLOCK = 512  # classes of a key that one task compares at a time
+LONGEST = 64  # words of a set up to which pairs of words are keys; the keys of longer ones are single words
+
+
+def ranked(classes: DataFrame) -> DataFrame:
+    """``cls`` and ``w``: the words as whole numbers in order, the rarest word of all classes being 0."""
+    rows = classes.where("cls is not null").select("cls", F.xxhash64("words").alias("h"), F.explode("words").alias("word"))
+    # Sorted by ranges, so that the number of the partition and the place in it keep the order.
+    placed = cut(rows.groupBy("word").agg(F.count("*").alias("df")).orderBy("df", "word").select("word", F.monotonically_increasing_id().alias("at")))
+    starts, total = [F.lit(0), F.lit(0)], 0
+    for r in sorted(placed.groupBy(F.shiftright("at", 33).cast("int").alias("p")).count().collect()):  # one row for each partition
+        starts = (starts if total else []) + [F.lit(r["p"]), F.lit(total)]
+        total += r["count"]
+    rank = (F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + F.create_map(*starts)[F.shiftright("at", 33).cast("int")]).cast("int")
+    return rows.join(placed.select("word", rank.alias("rank")), "word").groupBy("cls", "h").agg(F.sort_array(F.collect_list("rank")).alias("w")).select("cls", "w")
+
+
+def _linked(key: tuple[int, int, int, int], block: np.ndarray, sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The linked pairs of rows whose first words in common are those of the key, so that no other key counts them too."""
+    one, two, i, j = key
+    upto, first = (one, 1) if two < 0 else (two, 2)
+    n = np.array([len(s) for s in sets])
+    if len(sets) <= 16:
+        members = [set(s.tolist()) for s in sets]
+        pairs = []
+        for a in range(len(sets)):
+            for b in range(a + 1, len(sets)):
+                both = members[a] & members[b]
+                pairs.append((a, b, len(both), sum(x <= upto for x in both)))
+        a, b, common, low = np.array(pairs, dtype=np.int64).reshape(-1, 4).T
+    else:
+        owner, flat = np.repeat(np.arange(len(sets)), n), np.concatenate(sets)
+        words_, at = np.unique(flat, return_inverse=True)
+        shared, below = np.zeros((len(sets), len(sets)), np.float32), np.zeros((len(sets), len(sets)), np.float32)
+        for start in range(0, len(words_), 4096):
+            here = (at >= start) & (at < start + 4096)
+            hot = np.zeros((len(sets), min(4096, len(words_) - start)), np.float32)
+            hot[owner[here], at[here] - start] = 1
+            shared += hot @ hot.T
+            least = hot[:, words_[start : start + 4096] <= upto]
+            below += least @ least.T
+        a, b = np.triu_indices(len(sets), 1)
+        common, low = shared[a, b], below[a, b]
+    keep = (low == first) & (common >= (threshold - 1e-12) * (n[a] + n[b] - common))
+    if two < 0:
+        keep &= (np.maximum(n[a], n[b]) > LONGEST) | (common == 1)  # the others have keys of two words
+    if i != j:
+        keep &= block[a] != block[b]
+    return a[keep], b[keep]
+
+
+def link_counts(classes: DataFrame, *, threshold: float) -> DataFrame:
+    """``cls``, ``n_links``, ``label``: links of a class found by one task, and the least class it is linked with there.
+
+    Exact: of two sets that are similar enough, each holds their first ``k`` common words among its first
+    ``n - ceil(threshold * n) + k``, in any order that is the same for all. Those ``k`` words are the key; with the
+    rarest words first, few sets share one. The members of a key are compared in pairs of blocks, and a task gives a
+    row for each of its members and none for a pair, so that a key may have any number of links.
+    """
+    n = F.size("w")
+    most = n - F.ceil(n * F.lit(threshold) - 1e-9).cast("int")
+
+    def prefix(k: int) -> Column:
+        return F.slice("w", F.lit(1), F.least(n, most + k))
+
+    ones = F.transform(prefix(1), lambda x: F.struct(x.alias("one"), F.lit(-1).alias("two")))
+    twos = F.flatten(F.transform(prefix(2), lambda x: F.transform(F.filter(prefix(2), lambda y: y > x), lambda y: F.struct(x.alias("one"), y.alias("two")))))
+    none = F.array().cast("array<struct<one: int, two: int>>")
+    # A set takes the keys that any set similar to it may need: single words if either may be long, or only one is in common.
+    keys = F.concat(F.when(n <= LONGEST, twos).otherwise(none), F.when((n > threshold * LONGEST - 1e-9) | (n <= 1 / threshold + 1e-9), ones).otherwise(none))
+    whole = cut(ranked(classes))
+    spread = whole.select("cls", "w", F.explode(keys).alias("key")).select("cls", "w", "key.one", "key.two")
+    large = spread.groupBy("one", "two").count().where(F.col("count") > BLOCK).select("one", "two", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    rows = spread.join(large, ["one", "two"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("one", "two", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "w")
+    by = ["one", "two", "i", "j"]
+
+    def task(key: tuple[int, int, int, int], held: list[tuple[int, int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        cls = np.array([c for _, c, _ in held], dtype=np.int64)
+        a, b = _linked(key, np.array([x for x, _, _ in held]), [s for *_, s in held], threshold)
+        if not len(a):
+            return None
+        label = cls.copy()
+        while True:
+            least, before = np.minimum(label[a], label[b]), label.copy()
+            np.minimum.at(label, a, least)
+            np.minimum.at(label, b, least)
+            if (label == before).all():
+                break
+        count = np.bincount(np.concatenate([a, b]), minlength=len(cls))
+        return cls[count > 0], count[count > 0], label[count > 0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple | None = None
+        held: list = []
+
+        def rows_of(parts: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in parts])) for k in range(3)], names=["cls", "n_links", "label"])
+
+        for batch in batches:
+            out = []
+            offsets, flat = np.array(batch.column(6).offsets), np.array(batch.column(6).values)
+            cols = [batch.column(k).to_pylist() for k in range(6)]
+            for r, (*key, block, cls) in enumerate(zip(*cols, strict=True)):
+                if tuple(key) != last:
+                    if len(held) > 1 and (got := task(last, held)):
+                        out.append(got)
+                    last, held = tuple(key), []
+                held.append((block, cls, flat[offsets[r] : offsets[r + 1]]))
+            if out:
+                yield rows_of(out)
+        if len(held) > 1 and (got := task(last, held)):
+            yield rows_of([got])
+
+    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "cls long, n_links long, label long")
+
+
+def groups(df: DataFrame, record_id: str, text: str, *, threshold: float = 0.8) -> DataFrame:
+    """``id``, ``group_id`` (the least id linked to it, over any number of steps) and ``n_links``: the classes its class is linked to.
 
-    One row for each record that has words; no pair is written out, so a group may hold any share of the records.
+    Exact, see :func:`link_counts`. One row for each record that has words; no pair is written out, so a group may hold
+    any share of the records.
     """
     classes, members = word_classes(df, record_id, text)
-    edges = cut(links(classes, threshold=threshold, bands=bands, rows=rows, hubs=hubs, close=False).select("a", "b"))
-    label = components(edges)
-    both = edges.select("a", "b").union(edges.select("b", "a")).toDF("cls", "o")
-    degree = both.groupBy("cls").agg(F.count("*").alias("n_links"))
+    counted = cut(link_counts(classes, threshold=threshold))
+    label = components(counted.where("label != cls").select(F.col("label").alias("a"), F.col("cls").alias("b")))
+    degree = counted.groupBy("cls").agg(F.sum("n_links").alias("n_links"))
     found = members.join(label.withColumnRenamed("node", "cls"), "cls", "left").join(degree, "cls", "left")
     return found.select("id", F.coalesce("component", "cls").alias("group_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))

@@ -39,7 +39,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return _each(spark, sf, STATEMENTS, lambda df, key: near_dup.groups(df, key, "content", threshold=0.7, bands=72, rows=6))
+    return _each(spark, sf, STATEMENTS, lambda df, key: near_dup.groups(df, key, "content", threshold=0.7))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
