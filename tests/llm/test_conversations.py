@@ -69,3 +69,23 @@ def test_order_and_gaps(spark):
     assert [(r["part"], r["position"], r["id"]) for r in c.conversations(df).orderBy("id").collect()] == [(0, 0, 1), (0, 1, 2), (0, 2, 3), (0, 3, 4)]
     assert [(r["part"], r["position"]) for r in c.conversations(df, gap_seconds=60).orderBy("id").collect()] == [(0, 0), (0, 1), (1, 0), (1, 1)]
     assert c.calibrated_gap(df) == 40.0 and c.calibrated_gap(df.limit(0)) == float("inf")
+
+
+def test_tool_rows_stay_in_the_conversation_and_are_not_judged(spark):
+    data = rows(
+        (1, "s", "system", "be brief", 0, None), (2, "s", "user", "q", 1, None), (3, "s", " Tool", "t", 2, None), (4, "s", "assistant", "a", 3, None), (5, "s", "tool", "t", 4, None),
+        (6, "twice", "user", "q", 0, None), (7, "twice", "tool", "t", 1, None), (8, "twice", "user", "q", 2, None), (9, "twice", "assistant", "a", 3, None),
+        (10, "open", "user", "q", 0, None), (11, "open", "tool", "t", 1, None),
+    )
+    df = spark.createDataFrame(data, SCHEMA)
+    want = [("s", 0, "system", 1), ("s", 1, "user", 2), ("s", 2, "tool", 3), ("s", 3, "assistant", 4), ("s", 4, "tool", 5)]
+    assert [(r["session_id"], r["position"], r["role"], r["id"]) for r in c.conversations(df).orderBy("id").collect()] == want
+    assert [(r["position"], r["id"]) for r in c.conversations(df, roles=c.TALK).orderBy("id").collect()] == [(0, 2), (1, 4)]
+    assert [(r["part"], r["position"], r["id"]) for r in c.conversations(df, gap_seconds=60).orderBy("id").collect()] == [(0, k, i) for _, k, _, i in want]
+
+
+def test_tool_rows_over_many_partitions(spark):
+    data = [(i, "hot", "user" if i in (0, 299) else "tool" if i < 300 else "assistant", "x", T0 + dt.timedelta(seconds=i), None) for i in range(320)]
+    got = c.ordered_rows(c.clean_rows(spark.createDataFrame(data, SCHEMA)), partitions=13, roles=None).collect()
+    assert sorted((r["id"], r["position"]) for r in got) == [(i, i) for i in range(320)]
+    assert [r["id"] for r in got if r["doubled"]] == [299]

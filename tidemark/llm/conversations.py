@@ -20,6 +20,7 @@ from tidemark.session import cut
 
 # White space, separators, control and format signs, and the letters that show nothing.
 BLANK = r"^[\s\p{Z}\p{C}ᅟᅠ⠀ㅤﾠ]*$"
+TALK = ("user", "assistant")  # the roles on which a conversation is judged
 EDGES = r"^[\s\p{Z}\p{C}]+|[\s\p{Z}\p{C}]+$"
 
 
@@ -41,10 +42,11 @@ def clean_rows(turns: DataFrame) -> DataFrame:
     return rows.withColumn("role", plain_role(F.col("role")))
 
 
-def _walk(channels: list, users: np.ndarray, times: np.ndarray, gap_us: int | None, carry: tuple | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple | None]:
+def _walk(channels: list, asked: np.ndarray, times: np.ndarray, gap_us: int | None, carry: tuple | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple | None]:
     """For sorted rows: position and part within the channel, and whether a user row follows a user row of its part.
 
-    ``carry`` is (channel, rows so far, parts so far, last time, last row is a user's) of the row before.
+    ``asked`` is 1 for a user's row, 0 for an assistant's and -1 for others, which are passed over. ``carry`` is (channel,
+    rows so far, parts so far, last time, ``asked`` of the part's last row of :data:`TALK`) of the row before.
     """
     n = len(channels)
     position, part, doubled = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
@@ -56,50 +58,53 @@ def _walk(channels: list, users: np.ndarray, times: np.ndarray, gap_us: int | No
         split = same and gap_us is not None and times[i] - last[3] > gap_us
         position[i] = 0 if not same or split else last[1]
         part[i] = 0 if not same else last[2] + int(split)
-        doubled[i] = bool(same and not split and users[i] and last[4])
-        last = (channels[i], int(position[i]) + 1, int(part[i]), int(times[i]), bool(users[i]))
+        before = last[4] if same and not split else -1
+        doubled[i] = asked[i] == 1 and before == 1
+        last = (channels[i], int(position[i]) + 1, int(part[i]), int(times[i]), int(asked[i]) if asked[i] >= 0 else before)
     return position, part, doubled, last
 
 
-def ordered_rows(rows: DataFrame, *, gap_seconds: float | None = None, partitions: int | None = None) -> DataFrame:
-    """The user and assistant rows of :func:`clean_rows` with ``part``, ``position`` (from 0 in each part), ``doubled``.
+def ordered_rows(rows: DataFrame, *, gap_seconds: float | None = None, partitions: int | None = None, roles: tuple[str, ...] | None = TALK) -> DataFrame:
+    """The rows of :func:`clean_rows` of the given roles (none: of any role) with ``part``, ``position`` (from 0 in each part), ``doubled``.
 
     With ``gap_seconds``, a channel is split where nothing was said for longer than that.
     """
-    talk = rows.where(F.col("role").isin("user", "assistant") & F.col("created_at").isNotNull())
+    talk = rows.where((F.col("role").isNotNull() if roles is None else F.col("role").isin(*roles)) & F.col("created_at").isNotNull())
     n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = ["session_id", "created_at", "id"]
     ordered = cut(talk.select("session_id", "created_at", "id", "role", "content").repartitionByRange(n, *by).sortWithinPartitions(*by))
     gap_us = None if gap_seconds is None else int(gap_seconds * 1e6)
 
     def columns(batch: pa.RecordBatch) -> tuple[list, np.ndarray, np.ndarray]:
-        return batch.column(0).to_pylist(), np.array(batch.column(3).to_pylist()) == "user", np.array(batch.column(1).cast(pa.int64()))
+        return batch.column(0).to_pylist(), np.array([{"user": 1, "assistant": 0}.get(x, -1) for x in batch.column(3).to_pylist()], np.int64), np.array(batch.column(1).cast(pa.int64()))
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # What a partition leaves behind, counted from its own first row; whether it began where that channel began.
         first, first_time, last, n_splits = None, 0, None, 0
         for batch in batches:
-            channels, users, times = columns(batch)
+            channels, asked, times = columns(batch)
             if not channels:
                 continue
             if first is None:
                 first, first_time = channels[0], int(times[0])
-            *_, last = _walk(channels, users, times, gap_us, last)
+            *_, last = _walk(channels, asked, times, gap_us, last)
         if first is not None:
-            yield pa.RecordBatch.from_pydict({"at": [TaskContext.get().partitionId()], "first": [first], "first_time": [first_time], "last": [last[0]], "n": [last[1]], "part": [last[2]], "time": [last[3]], "user": [last[4]]})
+            yield pa.RecordBatch.from_pydict({"at": [TaskContext.get().partitionId()], "first": [first], "first_time": [first_time], "last": [last[0]], "n": [last[1]], "part": [last[2]], "time": [last[3]], "asked": [last[4]]})
 
     thin = ordered.select("session_id", "created_at", "id", "role")
-    schema = "at long, first string, first_time long, last string, n long, part long, time long, user boolean"
+    schema = "at long, first string, first_time long, last string, n long, part long, time long, asked long"
     carries: dict[int, tuple] = {}
     carry: tuple | None = None
     for s in sorted(thin.mapInArrow(summarise, schema).collect(), key=lambda r: r["at"]):  # one row for each partition
         carries[s["at"]] = carry
-        n_rows, part = s["n"], s["part"]
+        n_rows, part, asked = s["n"], s["part"], s["asked"]
         if carry is not None and s["first"] == s["last"] == carry[0]:
             split = gap_us is not None and s["first_time"] - carry[3] > gap_us
-            n_rows += carry[1] if part == 0 and not split else 0
+            if part == 0 and not split:
+                n_rows += carry[1]
+                asked = carry[4] if asked < 0 else asked
             part += carry[2] + int(split)
-        carry = (s["last"], n_rows, part, s["time"], s["user"])
+        carry = (s["last"], n_rows, part, s["time"], asked)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = carries.get(TaskContext.get().partitionId())
@@ -146,15 +151,16 @@ def broken_sessions(turns: DataFrame) -> DataFrame:
     return channels.join(talk, "session_id", "left").select("session_id", reason.alias("reason")).where("reason is not null")
 
 
-def conversations(turns: DataFrame, *, gap_seconds: float | None = None) -> DataFrame:
+def conversations(turns: DataFrame, *, gap_seconds: float | None = None, roles: tuple[str, ...] | None = None) -> DataFrame:
     """``session_id``, ``part``, ``position``, ``role``, ``content``, ``created_at``, ``id`` of the sound conversations.
 
     Without ``gap_seconds`` a channel is one conversation; with it, each part is judged alone: it must begin with a user's
-    row and answer every one.
+    row and answer every one. Only the rows of :data:`TALK` are judged, but all readable rows (tools, system) are numbered
+    and returned, unless ``roles`` names those to keep.
     """
-    rows = ordered_rows(clean_rows(turns), gap_seconds=gap_seconds)
+    rows = ordered_rows(clean_rows(turns), gap_seconds=gap_seconds, roles=roles)
     bad_rows = turns.where(F.col("session_id").isNotNull() & (plain_role(F.col("role")).isNull() | F.col("created_at").isNull())).select("session_id").distinct()
-    at = F.col("position")
+    at = F.when(F.col("role").isin(*TALK), F.col("position"))
     verdict = rows.groupBy("session_id", "part").agg(F.max("doubled").alias("d"), F.min_by("role", at).alias("f"), F.max_by("role", at).alias("l"))
     sound = verdict.where("not d and f = 'user' and l = 'assistant'").select("session_id", "part")
     return rows.join(sound, ["session_id", "part"]).join(bad_rows, "session_id", "left_anti").select("session_id", "part", "position", "role", "content", "created_at", "id")

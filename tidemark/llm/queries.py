@@ -62,7 +62,15 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_conversations(spark: SparkSession, sf: str) -> DataFrame:
-    return conversations.conversations(tables(spark, sf, "session_turns")).select("session_id", "position", "role", "content", F.unix_micros("created_at").alias("created_us"), "id")
+    return _talk(conversations.conversations(tables(spark, sf, "session_turns"), roles=conversations.TALK))
+
+
+def p6_all_roles(spark: SparkSession, sf: str) -> DataFrame:
+    return _talk(conversations.conversations(tables(spark, sf, "session_turns")))
+
+
+def _talk(rows: DataFrame) -> DataFrame:
+    return rows.select("session_id", "position", "role", "content", F.unix_micros("created_at").alias("created_us"), "id")
 
 
 def p6_split_at_gaps(spark: SparkSession, sf: str) -> DataFrame:
@@ -106,5 +114,5 @@ def p10_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_redacted, p2_found, p2_groups, p4_found, p5_found, p5_masked, p6_found, p6_conversations, p6_split_at_gaps, p7_found, p7_neighbours, p8_containers, p9_found, p9_edited, p10_found, p10_amounts, p10_lines)
+    for f in (p1_found, p1_redacted, p2_found, p2_groups, p4_found, p5_found, p5_masked, p6_found, p6_conversations, p6_all_roles, p6_split_at_gaps, p7_found, p7_neighbours, p8_containers, p9_found, p9_edited, p10_found, p10_amounts, p10_lines)
 }
