@@ -89,3 +89,13 @@ def test_winnowing_promises_a_common_mark():
         assert set(ha[winnow(ha, 40)]) & set(hb[winnow(hb, 40)])
     flat = window_hashes(np.full(5000, 97, np.uint32), 81)
     assert len(winnow(flat, 40)) == 2
+
+
+@pytest.mark.parametrize("size", [1, 30, 60, 400])
+def test_added_words_of_any_length(spark, size):
+    words = "alder birch cedar hazel maple olive pecan rowan larch aspen beech holly".split()
+    text = " ".join([*["before"] * 30, *words[:4], "x" * size, *words[4:8], "y" * size, *words[8:], *["after"] * 30])
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(words))], "item_id long, item_text string")
+    got = leakage.leaks(docs, "doc_id", "text", items, "item_id", "item_text", q=8, edits=2).collect()
+    assert [tuple(r) for r in got] == [(1, 7, 12)]

@@ -1,9 +1,9 @@
-"""Evaluation passages inside training documents: q-gram lemma, diagonal bands, banded alignment (problem 9).
+"""Evaluation passages inside training documents: q-gram lemma, unedited pieces, alignment of words (problem 9).
 
 The items' character q-grams (over words in lower case with single spaces) are the only thing shipped, in blocks of
 bounded size: a further block is a further pass over the documents. A document is read once per pass, in place: its
-q-grams are looked up, hits are counted in overlapping bands of diagonals for each item, and a band is kept if it holds
-as many q-grams as a passage within the edit budget must share. Kept regions are aligned word by word within the band.
+q-grams are looked up, and the words around each stretch that is as long a piece of an item as the edits must leave whole
+are kept if they hold as many q-grams as a passage within the edit budget must share. They are aligned word by word.
 """
 
 from __future__ import annotations
@@ -55,7 +55,6 @@ class _Index:
         self.need: dict[int, int] = {}  # q-grams that a passage must share in all
         self.run: dict[int, int] = {}  # and in one piece
         hashes, owner, at = [], [], []
-        self.longest = 0
         for item, text in items:
             x = folded(text)
             words = "".join(map(chr, x)).split()
@@ -72,7 +71,6 @@ class _Index:
             hashes.append(h)
             owner.append(np.full(len(h), item, np.int64))
             at.append(np.arange(len(h), dtype=np.int64))
-            self.longest = max(self.longest, len(x))
         joined = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(joined, kind="stable")
         self.hashes = joined[order]
@@ -95,51 +93,45 @@ class _Index:
             return []
         index = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(len(pos))
         item, diagonal = self.owner[index], pos - self.at[index]
-        keep = self._with_runs(item, diagonal, pos)
-        if not len(keep):
+        pieces = self._pieces(item, diagonal, pos)
+        if not pieces:
             return []
-        item, diagonal = item[keep], diagonal[keep]
-        step = self.q + 8 * self.edits
-        regions: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for shift in (0, 1):
-            band = (diagonal + self.longest) // step - shift  # a band spans two steps, so that neighbours overlap
-            order = np.lexsort((band, item))
-            i, b = item[order], band[order]
-            starts = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (b[1:] != b[:-1])]))
-            for s, e in zip(starts, [*starts[1:], len(i)], strict=True):
-                regions[int(i[s])].append((int(b[s]), e - s))
+        spaces = np.flatnonzero(x == 32)
+        order = np.lexsort((pos, item))
+        item, pos = item[order], pos[order]
         out = []
-        for one, bands in regions.items():
-            counts: dict[int, int] = defaultdict(int)
-            for b, c in bands:
-                counts[b] += c
+        for one, spans in pieces.items():
+            # A passage reaches no further from a piece of it than the item and the edits have words, however long these are.
+            reach = len(self.words[one]) + self.edits
+            windows: list[list[int]] = []
+            for low, high in sorted(spans):
+                first = max(0, int(np.searchsorted(spaces, low, "right")) - 1 - reach)
+                last = min(len(spaces) - 1, int(np.searchsorted(spaces, high, "left")) + reach)
+                if windows and first <= windows[-1][1]:
+                    windows[-1][1] = max(windows[-1][1], last)
+                else:
+                    windows.append([first, last])
+            hits = pos[np.searchsorted(item, one, "left") : np.searchsorted(item, one, "right")]
             best = 0
-            for b, c in counts.items():
-                if c >= self.need[one]:
-                    first = b * step - self.longest
-                    best = max(best, self._aligned(x, one, first, first + 2 * step))
+            for first, last in windows:
+                start, end = spaces[first], spaces[last]
+                if np.searchsorted(hits, end, "right") - np.searchsorted(hits, start, "left") >= self.need[one]:
+                    best = max(best, longest_aligned(self.words[one], "".join(map(chr, x[start : end + 1])).split(), self.edits))
             if best >= self.min_words:
                 out.append((one, best))
         return out
 
-    def _with_runs(self, item: np.ndarray, diagonal: np.ndarray, pos: np.ndarray) -> np.ndarray:
-        """The hits of items of which a long enough piece stands on one diagonal."""
+    def _pieces(self, item: np.ndarray, diagonal: np.ndarray, pos: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """For each item the stretches of the text that are long enough pieces of it: first and last character."""
         order = np.lexsort((pos, diagonal, item))
         i, d, p = item[order], diagonal[order], pos[order]
         starts = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1)]))
         lengths = np.diff(np.concatenate([starts, [len(i)]]))
-        good = {int(one) for one, n in zip(i[starts], lengths, strict=True) if n >= self.run[int(one)]}
-        return np.flatnonzero(np.isin(item, list(good))) if good else np.zeros(0, np.int64)
-
-    def _aligned(self, x: np.ndarray, item: int, low: int, high: int) -> int:
-        """Aligns the item with the stretch of the text that its diagonals ``low`` to ``high`` can reach."""
-        size = sum(map(len, self.words[item])) + len(self.words[item]) + 1
-        start, end = max(0, low - 1), min(len(x), high + size + self.q)
-        while start > 0 and x[start] != 32:
-            start -= 1
-        while end < len(x) and x[end] != 32:
-            end += 1
-        return longest_aligned(self.words[item], "".join(map(chr, x[start : end + 1])).split(), self.edits)
+        out: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for one, low, n in zip(i[starts].tolist(), p[starts].tolist(), lengths.tolist(), strict=True):
+            if n >= self.run[one]:
+                out[one].append((low, low + n + self.q - 2))
+        return out
 
 
 def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, *, min_words: int = 12, q: int = 16, edits: int = 0, block_chars: int = 4_000_000) -> DataFrame:
