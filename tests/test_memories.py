@@ -150,6 +150,12 @@ def test_chains_end_and_cycles_stop(spark):
     assert all(got[i] == (9, 9 - i) for i in range(1, 9))
 
 
+def test_long_chains_and_cycles_reach_their_end(spark):
+    rows = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1002), (1002, 1001), (2000, 2000)]
+    got = {r["id"]: (r["last_id"], r["steps"]) for r in memories.supersession_chains(spark, spark.createDataFrame(rows, "id long, superseded_by long")).collect()}
+    assert got == {i: (300, 300 - i) for i in range(300)} | {1000: (1002, 2), 1001: (1002, 1), 1002: (1001, 1), 2000: (2000, 0)}
+
+
 def test_merge_closes_and_counts(spark):
     df = table(spark, [memory(1, [1, 0]), memory(2, [1, 0]), memory(3, [0, 1])])
     after = {r["id"]: r for r in memories.apply_merge(df, memories.greedy_merge(df, 0.9), NOW).collect()}

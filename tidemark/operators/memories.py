@@ -278,17 +278,29 @@ def replacements(memories: DataFrame) -> DataFrame:
     return memories.where("superseded_by is not null").join(new, "superseded_by", "left")
 
 
-def supersession_chains(spark: SparkSession, memories: DataFrame, most: int = 100) -> DataFrame:
-    """``id``, ``last_id``, ``steps``: the memory at the end of each chain of replacements; cycles end after ``most`` steps."""
+def supersession_chains(spark: SparkSession, memories: DataFrame) -> DataFrame:
+    """``id``, ``last_id``, ``steps``: the memory at the end of each chain of replacements, whatever its length.
+
+    A chain that runs into a cycle ends on the last memory before one is met again.
+    """
     edges = cut(memories.where("superseded_by is not null").select("id", F.col("superseded_by").alias("next")))
     reach = edges.select("id", F.col("next").alias("last_id"), F.lit(1).alias("steps"))
-    jumps = edges.select(F.col("id").alias("last_id"), F.col("next"), F.lit(1).alias("d"))
-    while True:
-        # Pointers double: after k rounds a chain of 2^k steps is followed to its end.
-        grown = cut(reach.join(jumps, "last_id", "left").select("id", F.coalesce("next", "last_id").alias("last_id"), (F.col("steps") + F.coalesce("d", F.lit(0))).alias("steps")).where(F.col("steps") <= 2 * most))
-        if grown.join(edges.select(F.col("id").alias("last_id")), "last_id", "left_semi").where(F.col("steps") < most).isEmpty():
-            return grown
-        reach, jumps = grown, grown.select(F.col("id").alias("last_id"), F.col("last_id").alias("next"), F.col("steps").alias("d"))
+    further, before = edges.select(F.col("id").alias("last_id"), "next"), -1
+    # Pointers double: after k rounds a chain of 2^k steps is followed to its end. A round that ends none leaves only cycles.
+    while (left := reach.join(further, "last_id", "left_semi").count()) not in (0, before):
+        jumps = reach.select(F.col("id").alias("last_id"), F.col("last_id").alias("next"), F.col("steps").alias("d"))
+        reach = cut(reach.join(jumps, "last_id", "left").select("id", F.coalesce("next", "last_id").alias("last_id"), (F.col("steps") + F.coalesce("d", F.lit(0))).alias("steps")))
+        before = left
+    if left == 0:
+        return reach
+    found = reach.join(further, "last_id", "left_anti").select("id", "last_id", "steps")
+    walk = cut(reach.join(further, "last_id", "left_semi").select("id", F.col("id").alias("last_id"), F.array("id").alias("path")))
+    while not walk.isEmpty():
+        ahead = cut(walk.join(further, "last_id"))
+        met = F.array_contains("path", F.col("next"))
+        found = found.unionByName(ahead.where(met).select("id", "last_id", (F.size("path") - 1).alias("steps")))
+        walk = ahead.where(~met).select("id", F.col("next").alias("last_id"), F.concat("path", F.array("next")).alias("path"))
+    return found
 
 
 def counts(memories: DataFrame) -> DataFrame:
