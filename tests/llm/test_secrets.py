@@ -89,3 +89,14 @@ def test_rows(spark):
     assert out[1]["text_masked"] == "a\npasswd: [redacted:assignment]\n" and out[1]["secrets_masked"] == 1
     assert out[2]["text_masked"] is None and out[3]["text_masked"] == "" and out[4]["text_masked"].endswith("\n[redacted:provider_key]")
     assert find_secrets(df.limit(0), "id", "text").count() == 0
+
+
+def test_every_setting_of_a_line_and_values_of_any_length():
+    d = Detector()
+    key, other = "9f8a7b6c5d4e3f2a1b0c", "Zx81kQ0vLm42TyUw77aa"
+    for line, want in (
+        (f"docker run -e DB_PASSWORD=$PW -e API_TOKEN={key}", "docker run -e DB_PASSWORD=$PW -e API_TOKEN=[redacted:assignment]"),
+        (f"A_TOKEN={key} B_TOKEN={other}", "A_TOKEN=[redacted:assignment] B_TOKEN=[redacted:assignment]"),
+        (f"API_TOKEN={key * 40} next", "API_TOKEN=[redacted:assignment] next"),
+    ):
+        assert mask(line, d.find([line])[0]) == want

@@ -150,6 +150,8 @@ PLACEHOLDER = re.compile(
 CODE_VALUE = re.compile(
     r"(?i)^(?:(?:os|process|env|sys|config|settings|secrets|conf|vault|std|self|this|args|opts|options|request|req|params|ctx)[.\[(:]|getenv|env\b|lookup|await\b|new\b|new[A-Z(]|function\b|lambda\b|import\b|require\b|async\b|[A-Za-z_][\w.:]*\(|[a-z_]\w*(?:\.\w+)+\s*[;,)]?$|[A-Za-z_]\w*\[)"
 )
+WORD = re.compile(r"(?:(?!</)[^\s;,\"'`])*")
+QUOTED_WORD = re.compile(r"[^\s\"'`]*")
 SOFT_NAMES = re.compile(r"(?i)(?:token|credentials?|_key|key|pass|secret)$")
 
 
@@ -220,11 +222,11 @@ class Detector:
 
     def matches(self, form: str, text: str) -> Iterator[tuple[int, int, str]]:
         """Start, end and form of each usable secret of one form; the value alone, without quotes."""
-        for m in self.forms[form].finditer(text):
+        for m in self._assignments(text) if form == "assignment" else self.forms[form].finditer(text):
             start, end = m.span("v")
             value = m["v"]
             if form == "assignment":
-                value = self._assigned(m, text)
+                value = self._assigned(m, self._value(m, text))
                 if value is None:
                     continue
                 end = start + len(value)
@@ -243,15 +245,29 @@ class Detector:
             if form == "split_key":
                 yield *m.span("w"), f"{form}_rest"
 
+    def _assignments(self, text: str) -> Iterator[re.Match]:
+        """The settings of a text; the search goes on after the value, since more of them may follow on its line."""
+        at = 0
+        while m := self.forms["assignment"].search(text, at):
+            yield m
+            at = m.start("v") + max(1, len(self._value(m, text)))
+
+    @staticmethod
+    def _value(m: re.Match, text: str) -> str:
+        """The value of a setting: to the closing quote, or to the next separator, however far that is."""
+        start = m.start("v")
+        if m["q"]:
+            line = text.find("\n", start)
+            closed = text.find(m["q"], start, line if line >= 0 else len(text))
+            return text[start:closed] if closed >= 0 else QUOTED_WORD.match(text, start)[0]
+        return WORD.match(text, start)[0]
+
     @staticmethod
-    def _assigned(m: re.Match, text: str) -> str | None:
+    def _assigned(m: re.Match, value: str) -> str | None:
         """The value of a setting if it is a secret."""
-        name, quote, value = m["k"].lower(), m["q"], m["v"]
-        if quote:
-            closed = text.find(quote, m.start("v"))
-            value = text[m.start("v") : closed] if 0 <= closed and "\n" not in text[m.start("v") : closed] else value.split()[0]
-        else:
-            value = re.split(r"[\s;,]|(?:</)", value)[0].rstrip(")}]")
+        name, quote = m["k"].lower(), m["q"]
+        if not quote:
+            value = value.rstrip(")}]")
             if CODE_VALUE.search(m["v"]) or CODE_VALUE.search(value):
                 return None
         if PLACEHOLDER.search(value) or value.startswith("-----") or len(value) < 5:
