@@ -28,11 +28,11 @@ def test_stream_equals_batch_and_repeats_change_nothing(spark, tmp_path):
     write(logs, "a.jsonl", [record("user", f"x{i}", None, f"u{i}", timestamp=f"2026-02-0{1 + i % 3}T10:00:00Z") for i in range(8)])
     store = SnapshotStore(spark, str(tmp_path / "store"))
     ingest_stream(spark, str(logs), store, str(tmp_path / "c")).awaitTermination()
-    assert store.read("turns").count() == 8 and store.read("cards").count() == 3
+    assert store.read("turns").count() == 8 and store.read("cards").where("session_id is null").count() == 3
     write(logs, "b.jsonl", [record("user", "x0", None, "u0"), record("user", "new", None, "u99", timestamp="2026-02-01T11:00:00Z")])
     ingest_stream(spark, str(logs), store, str(tmp_path / "c")).awaitTermination()
     assert store.read("turns").count() == 9
-    card = store.read("cards").where("period = '2026-02-01'").first()
+    card = store.read("cards").where("period = '2026-02-01' and session_id is null").first()
     assert card["summary"].startswith("4 turns")
     whole = SnapshotStore(spark, str(tmp_path / "batch"))
     found, _ = nested_log.parse(lines.read_lines(lines.discover(spark, str(logs))))
@@ -40,7 +40,7 @@ def test_stream_equals_batch_and_repeats_change_nothing(spark, tmp_path):
     assert store_batch(whole, found, "UTC") == 0
 
     def state(s):
-        return sorted(map(tuple, s.read("turns").select("source_key", "content").collect())), sorted(json.dumps(r.asDict()) for r in s.read("cards").collect())
+        return sorted(map(tuple, s.read("turns").select("source_key", "content").collect())), sorted(json.dumps(r.asDict()) for r in s.read("cards").select("session_id", "period", "summary", "developer_behavior_facts", "token_count").collect())
 
     assert state(whole) == state(store)
 

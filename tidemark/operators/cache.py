@@ -15,6 +15,7 @@ from tidemark.config import DEFAULTS, Settings
 from tidemark.functions.decay import instant
 from tidemark.functions.vectors import dot
 
+
 class ResultMemo:
     """Results by request key for one version of the store: at most ``size`` of them, each for ``ttl`` seconds.
 
@@ -44,6 +45,38 @@ class ResultMemo:
         return value
 
 
+class QueryCache(ResultMemo):
+    """A memo that also answers questions near one it has answered: same parameters, similar enough, and clearly nearest."""
+
+    def __init__(self, settings: Settings = DEFAULTS, size: int = 128, ttl: float = 300.0, clock: Callable[[], float] = time.monotonic) -> None:
+        super().__init__(size, ttl, clock)
+        self.settings = settings
+        self.vectors: OrderedDict[str, tuple[str, np.ndarray, int]] = OrderedDict()
+
+    def lookup(self, key: str, version: object) -> object | None:
+        """What is kept under a key for a version, if it hasn't expired."""
+        found = self.kept.get((key, version))
+        return found[1] if found and self.clock() - found[0] < self.ttl else None
+
+    def semantic(self, fingerprint: str, vector: np.ndarray, version: object) -> tuple[str, str | None, float | None]:
+        """Outcome, the key served and the best similarity, over at most ``size`` entries."""
+        live = [(float(vector @ v), k) for k, (f, v, _) in self.vectors.items() if f == fingerprint and len(v) == len(vector) and self.lookup(k, version) is not None]
+        if not live:
+            return "no_candidates", None, None
+        (best, key), *rest = sorted(live, key=lambda x: -x[0])
+        if best < self.settings.cache_threshold:
+            return "below_threshold", None, best
+        if rest and best - rest[0][0] < self.settings.cache_margin:
+            return "ambiguous", None, best
+        return "served", key, best
+
+    def put(self, key: str, fingerprint: str, vector: np.ndarray, version: object, value: object) -> None:
+        self.get(key, version, lambda: value)
+        self.vectors[key] = (fingerprint, vector, 0)
+        for old in [k for k in self.vectors if (k, version) not in self.kept]:
+            del self.vectors[old]
+
+
 THRESHOLDS = tuple(round(0.70 + 0.025 * i, 3) if i < 11 else (0.97, 0.99)[i - 11] for i in range(13))
 SWEEP = "threshold double, requests int, exact_hits int, semantic_hits int, misses int, false_hits int, refused_ambiguous int, refused_below_threshold int"
 
@@ -53,14 +86,17 @@ def decide(queries: DataFrame, entries: DataFrame, as_of, settings: Settings = D
 
     Entries count that have the query's fingerprint and width and haven't expired. A winner below the threshold, or less
     than the margin ahead of the next, isn't served. Queries and entries meet by fingerprint and the best two of each
-    query are an aggregate, so entries of one fingerprint aren't gathered.
+    query are kept where they are computed, so entries of one fingerprint aren't gathered.
     """
-    live = entries.where(F.col("expires_at") > instant(as_of)).select("fingerprint", "entry_id", F.col("embedding").alias("_e"))
-    met = queries.select("query_id", "fingerprint", F.col("embedding").alias("_q")).join(live, "fingerprint").withColumn("s", dot(F.col("_q"), F.col("_e"))).where("s is not null")
-    ranked = F.struct("s", (-F.col("entry_id")).alias("i"))
-    best = met.groupBy("query_id").agg(F.max(ranked).alias("top"), F.count("*").alias("candidates"))
-    second = met.join(best.select("query_id", "top"), "query_id").where(ranked < F.col("top")).groupBy("query_id").agg(F.max("s").alias("runner_up"))
-    out = queries.select("query_id").join(best, "query_id", "left").join(second, "query_id", "left")
+    whole = ~F.exists("embedding", lambda x: x.isNull())
+    live = entries.where((F.col("expires_at") > instant(as_of)) & whole).select("fingerprint", F.size("embedding").alias("_w"), "entry_id", F.col("embedding").alias("_e"))
+    asked = queries.where(whole).select("query_id", "fingerprint", F.size("embedding").alias("_w"), F.col("embedding").alias("_q"))
+    scored = asked.join(live, ["fingerprint", "_w"]).select("query_id", dot(F.col("_q"), F.col("_e")).alias("s"), "entry_id")
+    # Every partition keeps its best two of a query before they are shuffled; nothing is multiplied twice.
+    two = scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "entry_id"))).where("r <= 2")
+    best = two.groupBy("query_id").agg(F.max(F.when(F.col("r") == 1, F.struct("s", (-F.col("entry_id")).alias("i")))).alias("top"), F.max(F.when(F.col("r") == 2, F.col("s"))).alias("runner_up"))
+    met = asked.join(live.groupBy("fingerprint", "_w").agg(F.count("*").alias("candidates")), ["fingerprint", "_w"]).select("query_id", "candidates")
+    out = queries.select("query_id").join(best, "query_id", "left").join(met, "query_id", "left")
     s = F.col("top.s")
     outcome = (
         F.when(s.isNull(), "no_candidates")
@@ -79,48 +115,57 @@ def round_robin(queries: DataFrame, rounds: int = 2) -> DataFrame:
     return every.withColumn("at", F.struct("round", "idx", "query_group"))
 
 
-def simulate(workload: list[tuple[str, str]], vectors: dict[str, np.ndarray], truth: dict[str, tuple], groups: dict[str, str], threshold: float, margin: float) -> tuple[int, ...]:
-    """Replays one workload of (group, query): exact hits, semantic hits, misses, false hits, ambiguous, below the threshold.
+def replay(keys: list[str], similarity: np.ndarray, same: np.ndarray, threshold: float, margin: float) -> dict[str, int]:
+    """How one workload fares at a threshold, as a table of outcomes.
 
-    A hit is right if both the question and the answer are the same.
+    ``keys`` are the distinct questions in order of their first request; ``similarity`` and ``same`` compare them, ``same``
+    saying whether both question and answer agree. A request is answered exactly if its question was stored before. Any
+    other is decided on the stored questions: by the nearest, the later stored one of equals, and the distance to the
+    next. What isn't served is stored.
     """
-    cached: list[str] = []
-    exact = semantic = misses = wrong = ambiguous = below = 0
-    known: set[str] = set()
-    for group, query in workload:
-        if query in known:
-            exact += 1
+    stored = np.zeros(len(keys), bool)
+    age = np.full(len(keys), -1)
+    outcome = {"exact": 0, "served": 0, "wrong": 0, "ambiguous": 0, "below": 0, "first": 0}
+    number = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+    for step, q in enumerate(number[k] for k in keys):
+        if stored[q]:
+            outcome["exact"] += 1
             continue
-        if cached:
-            s = np.array([float(vectors[query] @ vectors[o]) for o in cached])
-            order = np.argsort(-s, kind="stable")
-            first, second = s[order[0]], s[order[1]] if len(s) > 1 else None
-            if first < threshold:
-                below += 1
-            elif second is not None and first - second < margin:
-                ambiguous += 1
-            else:
-                semantic += 1
-                other = cached[order[0]]
-                wrong += not (groups[other] == group and truth[other] == truth[query])
+        known = np.flatnonzero(stored)
+        if len(known):
+            rank = known[np.lexsort((-age[known], -similarity[q, known]))]
+            near = similarity[q, rank[:2]]
+            clear = len(near) < 2 or near[0] - near[1] >= margin
+            if near[0] >= threshold and clear:
+                outcome["served"] += 1
+                outcome["wrong"] += int(not same[q, rank[0]])
                 continue
-        misses += 1
-        known.add(query)
-        cached.insert(0, query)
-    return exact, semantic, misses, wrong, ambiguous, below
+            outcome["below" if near[0] < threshold else "ambiguous"] += 1
+        else:
+            outcome["first"] += 1
+        stored[q], age[q] = True, step
+    return outcome
 
 
 def sweep(queries: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, margin: float = 0.02, rounds: int = 2) -> DataFrame:
-    """:func:`simulate` at each threshold, one task for each; the workload (``query_group``, ``query``, ``embedding``, ``result_ids``) is a labelled set and small."""
+    """:func:`replay` at each threshold, one task for each; the workload (``query_group``, ``query``, ``embedding``, ``result_ids``) is a labelled set and small.
+
+    A false hit is one whose stored question or answer differs; a miss is whatever had to be computed.
+    """
     rows = round_robin(queries, rounds).orderBy("at").select("query_group", "query", "embedding", "result_ids").collect()  # the labelled set
-    workload = [(r["query_group"], r["query"]) for r in rows]
-    vectors = {r["query"]: np.asarray(r["embedding"], np.float64) for r in rows}
-    truth = {r["query"]: tuple(r["result_ids"]) for r in rows}
-    groups = {r["query"]: r["query_group"] for r in rows}
+    requests = [r["query"] for r in rows]
+    distinct = {r["query"]: r for r in rows}
+    x = np.array([r["embedding"] for r in distinct.values()], np.float64).reshape(len(distinct), -1)
+    similarity = np.array([[float(a @ b) for b in x] for a in x]).reshape(len(x), len(x))
+    answers = [(r["query_group"], tuple(r["result_ids"])) for r in distinct.values()]
+    same = np.array([[a == b for b in answers] for a in answers], bool).reshape(len(x), len(x))
 
     def run(batches):  # noqa: ANN001, ANN202
         for pdf in batches:
-            out = [(t, len(workload), *simulate(workload, vectors, truth, groups, t, margin)) for t in pdf["threshold"]]
+            out = []
+            for t in pdf["threshold"]:
+                o = replay(requests, similarity, same, t, margin)
+                out.append((t, len(requests), o["exact"], o["served"], o["ambiguous"] + o["below"] + o["first"], o["wrong"], o["ambiguous"], o["below"]))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in SWEEP.split(", ")])
 
     spark = queries.sparkSession

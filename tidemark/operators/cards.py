@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import token_estimate
+from tidemark.operators.turns import numbered
 
 SCOPES = ("day", "session", "all")
 
@@ -30,6 +31,8 @@ def upsert(cards: DataFrame, written: DataFrame) -> DataFrame:
     kept = cards.join(new, match, "left").select(*[changed.get(c, F.col(c)).alias(c) for c in cards.columns])
     keys = cards.select(F.col("period").alias("_p"), F.col("session_id").alias("_s"))
     fresh = written.join(keys, (written["period"] == keys["_p"]) & written["session_id"].eqNullSafe(keys["_s"]), "left_anti")
+    if "id" not in fresh.columns:
+        fresh = numbered(fresh, cards)
     fresh = fresh.withColumn("token_count", token_count(F.col("summary"), F.col("developer_behavior_facts"))).withColumn("generated_by", F.lit("rule"))
     return kept.unionByName(fresh, allowMissingColumns=True)
 

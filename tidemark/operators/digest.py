@@ -112,11 +112,27 @@ def session_cards(turns: DataFrame, tz: str, min_turns: int = 6) -> DataFrame:
     return rows.withColumn("summary", headline).withColumn("facts", facts(tz))
 
 
+def touched_turns(turns: DataFrame, periods: DataFrame, tz: str) -> DataFrame:
+    """The turns of the given local days."""
+    dated = turns.where("created_at is not null").withColumn("_p", local_date(F.col("created_at"), tz).cast("string"))
+    wanted = periods.select(F.col("period").alias("_p")).distinct()
+    return dated.join(wanted, "_p", "left_semi").drop("_p")
+
+
 def rebuild(turns: DataFrame, periods: DataFrame, tz: str) -> DataFrame:
     """``period``, ``summary``, ``facts`` of the given days from the whole store, also of days without turns."""
     wanted = periods.select("period").distinct()
-    dated = turns.where("created_at is not null").withColumn("_p", local_date(F.col("created_at"), tz).cast("string"))
-    touched = dated.join(wanted, dated["_p"] == wanted["period"], "left_semi").drop("_p")
-    built = day_cards(touched, tz).select("period", "summary", "facts")
+    built = day_cards(touched_turns(turns, periods, tz), tz).select("period", "summary", "facts")
     blank = wanted.join(built, "period", "left_anti").select(empty_card(F.col("period")).alias("c")).select("c.*")
     return built.unionByName(blank)
+
+
+def written_cards(turns: DataFrame, periods: DataFrame, tz: str, at: Column, *, days: bool = True, sessions: bool = True, min_turns: int = 6) -> DataFrame:
+    """The cards of the given days and of their sessions, as rows that :func:`tidemark.operators.cards.upsert` takes."""
+    parts = []
+    if days:
+        parts.append(rebuild(turns, periods, tz).select(F.lit(None).cast("string").alias("session_id"), "period", "summary", "facts"))
+    if sessions:
+        parts.append(session_cards(touched_turns(turns, periods, tz), tz, min_turns).select("session_id", "period", "summary", "facts"))
+    built = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return built.withColumnRenamed("facts", "developer_behavior_facts").withColumns({"created_at": at, "updated_at": at})

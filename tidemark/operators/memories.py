@@ -230,26 +230,27 @@ def write_events(memories: DataFrame, writes: DataFrame, settings: Settings = DE
 def fold(memories: DataFrame, events: DataFrame, as_of: dt.datetime | str | None = None) -> DataFrame:
     """The state after an event log, or as it was at an instant.
 
-    A refresh counts an access and reopens the memory, but keeps its pointer; a supersession closes an open memory.
+    A refresh counts an access and reopens the memory, but keeps its pointer; a supersession closes an open memory, and
+    so does archiving it, without a pointer.
     """
     if as_of is not None:
         events = events.where(F.col("event_ts") <= instant(as_of))
     events = cut(events)
     inserted = events.where("event = 'inserted'").select("id", "content", "namespace", "category", "embedding", F.col("event_ts").alias("created_at"), F.lit(None).cast("timestamp").alias("valid_at"), F.lit(None).cast("long").alias("superseded_by"), F.lit(0).alias("access_count"), "decay_factor", F.lit(None).cast("timestamp").alias("last_accessed_at"))
     order = F.struct("event_ts", "seq")
-    state = F.col("event").isin("refreshed", "superseded")
+    state = F.col("event").isin("refreshed", "superseded", "archived")
     changes = events.where("event != 'inserted'").groupBy("id").agg(
         F.count_if(F.col("event").isin("refreshed", "accessed")).alias("_hits"),
         F.max(F.when(F.col("event").isin("refreshed", "accessed"), F.col("event_ts"))).alias("_seen"),
         F.max_by(F.struct("event", "event_ts"), F.when(state, order)).alias("_last"),
         F.max_by("other", F.when(F.col("event") == "superseded", order)).alias("_by"),
     )
-    everyone = memories.unionByName(inserted.select(*memories.columns)).join(changes, "id", "left")
+    everyone = memories.unionByName(inserted.select(*memories.columns)).join(changes, "id", "left")  # one change row an id
     return everyone.select(
         *[
             (
                 {
-                    "valid_at": F.when(F.col("_last.event") == "superseded", F.coalesce("valid_at", F.col("_last.event_ts"))).when(F.col("_last.event") == "refreshed", F.lit(None)).otherwise(F.col("valid_at")),
+                    "valid_at": F.when(F.col("_last.event").isin("superseded", "archived"), F.coalesce("valid_at", F.col("_last.event_ts"))).when(F.col("_last.event") == "refreshed", F.lit(None)).otherwise(F.col("valid_at")),
                     "superseded_by": F.coalesce("_by", "superseded_by"),
                     "access_count": (F.coalesce("access_count", F.lit(0)) + F.coalesce("_hits", F.lit(0))).cast("int"),
                     "last_accessed_at": F.greatest("last_accessed_at", "_seen"),
@@ -260,10 +261,10 @@ def fold(memories: DataFrame, events: DataFrame, as_of: dt.datetime | str | None
     )
 
 
-def access_events(hits: DataFrame, at: dt.datetime | str) -> DataFrame:
+def access_events(hits: DataFrame, at: dt.datetime | str, event: str = "accessed") -> DataFrame:
     """What a search leaves in the log: one access for each memory it returned."""
     nulls = {"other": "long", "namespace": "string", "category": "string", "content": "string", "embedding": "array<float>", "decay_factor": "float"}
-    return hits.select(F.lit("accessed").alias("event"), instant(at).alias("event_ts"), F.lit(0).cast("long").alias("seq"), "id", *[F.lit(None).cast(t).alias(c) for c, t in nulls.items()])
+    return hits.select(F.lit(event).alias("event"), instant(at).alias("event_ts"), F.lit(0).cast("long").alias("seq"), "id", *[F.lit(None).cast(t).alias(c) for c, t in nulls.items()])
 
 
 def timeline(memories: DataFrame, day: str, tz: str) -> DataFrame:

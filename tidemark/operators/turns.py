@@ -70,14 +70,18 @@ def numbered(rows: DataFrame, stored: DataFrame) -> DataFrame:
     return rows.withColumn("_k", F.monotonically_increasing_id() + 1).crossJoin(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("_k")).drop("_top", "_k")  # one row
 
 
+def filled(new: DataFrame) -> DataFrame:
+    """Turns with their token counts filled in."""
+    return new.withColumn("token_count", F.coalesce("token_count", token_estimate(F.col("content"))))
+
+
 def append(turns: DataFrame, new: DataFrame) -> DataFrame:
     """``turns`` with further rows; ids go on from the largest, and token counts are filled in."""
-    rows = new.withColumn("token_count", F.coalesce("token_count", token_estimate(F.col("content"))))
-    return turns.unionByName(numbered(rows, turns), allowMissingColumns=True)
+    return turns.unionByName(numbered(filled(new), turns), allowMissingColumns=True)
 
 
-def upsert(stored: DataFrame, batch: DataFrame, order: str = "created_at") -> tuple[DataFrame, DataFrame]:
-    """The store after a keyed batch, and the rows of the batch that were new.
+def changes(stored: DataFrame, batch: DataFrame, order: str = "created_at") -> tuple[DataFrame, DataFrame]:
+    """The rows of a keyed batch that are new, and the stored rows that it alters, as they are afterwards.
 
     The first row of a key in the batch counts. A stored row takes project and branch from the batch where the batch has
     them, and tool names only where it has none. Rows without a key are always new.
@@ -88,19 +92,20 @@ def upsert(stored: DataFrame, batch: DataFrame, order: str = "created_at") -> tu
     known = stored.where(F.col("source_key").isNotNull()).select("source_key")
     new = once.join(known, "source_key", "left_anti").select(*batch.columns)
     fills = once.where(F.col("source_key").isNotNull()).select(F.col("source_key").alias("_key"), F.col("project").alias("_p"), F.col("git_branch").alias("_b"), F.col("tool_names").alias("_t"))
-    # Rows without a key get one of their own, else they would all meet in one task.
-    own = F.coalesce("source_key", F.concat(F.lit("\0"), F.col("id").cast("string")))
-    filled = stored.join(fills, own == F.col("_key"), "left").select(
-        *[
-            F.coalesce("_p", "project").alias(c) if c == "project"
-            else F.coalesce("_b", "git_branch").alias(c) if c == "git_branch"
-            else F.when((F.coalesce(F.size("tool_names"), F.lit(0)) <= 0) & F.col("_t").isNotNull(), F.col("_t")).otherwise(F.col("tool_names")).alias(c) if c == "tool_names"
-            else F.col(c)
-            for c in stored.columns
-        ]
-    )
+    bare = F.coalesce(F.size("tool_names"), F.lit(0)) <= 0
+    fresh = (F.col("_p").isNotNull() & ~F.col("_p").eqNullSafe(F.col("project"))) | (F.col("_b").isNotNull() & ~F.col("_b").eqNullSafe(F.col("git_branch"))) | (bare & F.col("_t").isNotNull() & ~F.col("_t").eqNullSafe(F.col("tool_names")))
+    after = {"project": F.coalesce("_p", "project"), "git_branch": F.coalesce("_b", "git_branch"), "tool_names": F.when(bare & F.col("_t").isNotNull(), F.col("_t")).otherwise(F.col("tool_names"))}
+    altered = stored.join(fills, stored["source_key"] == F.col("_key")).where(fresh).select(*[after.get(c, F.col(c)).alias(c) for c in stored.columns])
+    return new, altered
+
+
+def upsert(stored: DataFrame, batch: DataFrame, order: str = "created_at") -> tuple[DataFrame, DataFrame]:
+    """The store after a keyed batch, and the rows of the batch that were new; see :func:`changes`."""
+    new, altered = changes(stored, batch, order)
+    altered = cut(altered)
     ranked = numbered(new, stored)
-    return filled.unionByName(ranked.select(*[c for c in stored.columns if c in ranked.columns]), allowMissingColumns=True), new
+    kept = stored.join(altered.select("id"), "id", "left_anti").unionByName(altered)
+    return kept.unionByName(ranked.select(*[c for c in stored.columns if c in ranked.columns]), allowMissingColumns=True), new
 
 
 def known_roles(turns: DataFrame) -> DataFrame:

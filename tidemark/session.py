@@ -28,12 +28,19 @@ def build_session(name: str = "tidemark", master: str | None = None, **conf: obj
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the session, or a fresh one where it is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, a local master gets a fresh temporary folder; on a cluster that would be one machine's own disk,
+    so there it is an error.
+    """
     sc = spark.sparkContext
     have = sc.getCheckpointDir()
     if have:
         return have
-    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-"))
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
     return sc.getCheckpointDir() or ""
 
 

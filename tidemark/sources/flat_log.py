@@ -9,7 +9,7 @@ from tidemark.functions.hashing import short_digest
 from tidemark.functions.redaction import redact
 from tidemark.functions.text import base_name, session_from_stem, strip, token_estimate
 from tidemark.functions.timez import parse_iso
-from tidemark.sources.lines import records, text_at
+from tidemark.sources.lines import carried, records, text_at
 from tidemark.sources.nested_log import _blocks, iso
 
 CALLS = ("function_call", "custom_tool_call", "local_shell_call")
@@ -30,27 +30,26 @@ def parse(lines: DataFrame, source: str = "flat-log") -> tuple[DataFrame, DataFr
     assistant message belong to the next one, as lines below its text too; tools after the last one are dropped. Keys are
     made of session, time, role and a number among equal ones, not of the text. Files are read whole.
     """
-    good, metrics = records(lines)
-    v = F.col("v")
-    rows = good.select(
-        "path", "n",
-        text_at(v, "$.type").alias("type"),
-        text_at(v, "$.payload.type").alias("kind"),
-        text_at(v, "$.payload.role").alias("role"),
-        F.nullif(text_at(v, "$.payload.cwd"), F.lit("")).alias("cwd"),
-        F.coalesce(F.nullif(text_at(v, "$.payload.name"), F.lit("")), text_at(v, "$.payload.tool_name")).alias("tool"),
-        parse_iso(text_at(v, "$.timestamp")).alias("created_at"),
-        flatten(v, "$.payload.content").alias("text"),
-        F.schema_of_variant(F.try_variant_get(v, "$.payload", "variant")).startswith("OBJECT").alias("payload"),
-    )
+    def fields(v: Column) -> list[Column]:
+        return [
+            text_at(v, "$.type").alias("type"),
+            text_at(v, "$.payload.type").alias("kind"),
+            text_at(v, "$.payload.role").alias("role"),
+            F.nullif(text_at(v, "$.payload.cwd"), F.lit("")).alias("cwd"),
+            F.coalesce(F.nullif(text_at(v, "$.payload.name"), F.lit("")), text_at(v, "$.payload.tool_name")).alias("tool"),
+            parse_iso(text_at(v, "$.timestamp")).alias("created_at"),
+            flatten(v, "$.payload.content").alias("text"),
+            F.schema_of_variant(F.try_variant_get(v, "$.payload", "variant")).startswith("OBJECT").alias("payload"),
+        ]
+
+    rows, metrics = records(lines, fields)
     context = F.coalesce(F.col("type") == "turn_context", F.lit(False))
     call = ~context & F.coalesce(F.col("kind").isin(*CALLS), F.lit(False))
     said = ~context & (F.col("kind") == "message") & F.col("role").isin("user", "assistant") & (F.col("text") != "") & F.col("created_at").isNotNull()
     rows = rows.withColumn("said", F.coalesce(said, F.lit(False))).withColumn("call", call)
-    w = Window.partitionBy("path").orderBy("n")
-    answers = (F.col("said") & (F.col("role") == "assistant")).cast("int")
-    rows = rows.withColumn("here", F.last(F.when(context, F.col("cwd")), ignorenulls=True).over(w))
-    rows = rows.withColumn("turn_no", F.coalesce(F.sum(answers).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    answer = F.when(F.col("said") & (F.col("role") == "assistant"), F.col("n"))
+    # The directory in force, and the answer that came last before a record: calls after it belong to the next one.
+    rows = carried(rows, here=(F.when(context, F.col("cwd")), True), turn_no=(answer, False)).withColumn("turn_no", F.coalesce("turn_no", F.lit(-1).cast("long")))
     tools = rows.where("call and tool is not null").groupBy("path", "turn_no").agg(F.array_sort(F.collect_list(F.struct("n", "tool"))).alias("t"))  # the calls of one answer
     tools = tools.select("path", "turn_no", F.transform("t", lambda x: x["tool"]).alias("names"))
     turns = rows.where("said").join(tools, ["path", "turn_no"], "left")

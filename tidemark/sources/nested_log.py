@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.redaction import redact
 from tidemark.functions.text import base_name, strip, token_estimate
 from tidemark.functions.timez import parse_iso
-from tidemark.sources.lines import records, text_at
+from tidemark.sources.lines import carried, records, text_at
 
 TOOL_IO_CHARS = 600
 
@@ -53,30 +53,31 @@ def parse(lines: DataFrame, source: str = "nested-log", *, tool_io: bool = False
     is no turn is lost. In a hot file the last group is held back, and its file is read up to that group. With
     ``strict_parity`` the masks of the first record are counted again in a merged group; without it they aren't.
     """
-    good, metrics = records(lines)
-    v = F.col("v")
-    text, tools = flatten(v, "$.message.content", tool_io=tool_io, thinking=thinking)
-    rows = good.select(
-        "path", "hot", "n", "start", "end",
-        text_at(v, "$.type").alias("type"),
-        text_at(v, "$.message.role").alias("role"),
-        F.when(text_at(v, "$.type") == "assistant", text_at(v, "$.message.id")).alias("mid"),
-        F.coalesce(F.try_variant_get(v, "$.isMeta", "boolean"), F.lit(False)).alias("meta"),
-        F.coalesce(F.try_variant_get(v, "$.isSidechain", "boolean"), F.lit(False)).alias("side"),
-        parse_iso(text_at(v, "$.timestamp")).alias("created_at"),
-        F.coalesce(F.nullif(F.try_variant_get(v, "$.sessionId", "string"), F.lit("")), F.lit("unknown")).alias("session_id"),
-        F.nullif(text_at(v, "$.uuid"), F.lit("")).alias("uuid"),
-        F.nullif(text_at(v, "$.cwd"), F.lit("")).alias("cwd"),
-        F.nullif(text_at(v, "$.gitBranch"), F.lit("")).alias("git_branch"),
-        F.try_variant_get(v, "$.message.usage.output_tokens", "int").alias("used"),
-        text.alias("text"), tools.alias("tools"),
-    )
+    def fields(v: Column) -> list[Column]:
+        text, tools = flatten(v, "$.message.content", tool_io=tool_io, thinking=thinking)
+        return [
+            text_at(v, "$.type").alias("type"),
+            text_at(v, "$.message.role").alias("role"),
+            F.when(text_at(v, "$.type") == "assistant", text_at(v, "$.message.id")).alias("mid"),
+            F.coalesce(F.try_variant_get(v, "$.isMeta", "boolean"), F.lit(False)).alias("meta"),
+            F.coalesce(F.try_variant_get(v, "$.isSidechain", "boolean"), F.lit(False)).alias("side"),
+            parse_iso(text_at(v, "$.timestamp")).alias("created_at"),
+            F.coalesce(F.nullif(F.try_variant_get(v, "$.sessionId", "string"), F.lit("")), F.lit("unknown")).alias("session_id"),
+            F.nullif(text_at(v, "$.uuid"), F.lit("")).alias("uuid"),
+            F.nullif(text_at(v, "$.cwd"), F.lit("")).alias("cwd"),
+            F.nullif(text_at(v, "$.gitBranch"), F.lit("")).alias("git_branch"),
+            F.try_variant_get(v, "$.message.usage.output_tokens", "int").alias("used"),
+            text.alias("text"), tools.alias("tools"),
+        ]
+
+    rows, metrics = records(lines, fields)
     ok = F.col("type").isin("user", "assistant") & ~F.col("meta") & F.col("role").isin("user", "assistant") & (F.col("text") != "") & F.col("created_at").isNotNull()
     if not sidechains:
         ok = ok & ~F.col("side")
-    w = Window.partitionBy("path").orderBy("n")
-    fresh = F.col("mid").isNull() | F.lag("mid").over(w).isNull() | (F.lag("mid").over(w) != F.col("mid"))
-    rows = rows.withColumn("ok", ok).withColumn("island", F.sum(fresh.cast("int")).over(w))
+    # A record begins a group unless the one before it in the file bears the same message id; a group is named by its place.
+    rows = carried(rows.withColumn("ok", ok), _before=(F.struct("mid"), False))
+    fresh = F.col("mid").isNull() | F.col("_before.mid").isNull() | (F.col("_before.mid") != F.col("mid"))
+    rows = carried(rows.withColumn("_fresh", F.when(fresh, F.col("n"))), island=(F.col("_fresh"), True))
     first = F.min_by(F.struct("ok", "role", "created_at", "session_id", "uuid", "cwd", "git_branch", "used", "text", "hot", "mid"), "n")
     groups = rows.groupBy("path", "island").agg(
         first.alias("f"), F.count("*").alias("records"), F.min("n").alias("n"), F.min("start").alias("start"),

@@ -13,15 +13,13 @@ from tidemark.session import cut
 def keep_first(stream: DataFrame, store: SnapshotStore, table: str, checkpoint: str, *, key: str, arrived: str, row_id: str) -> StreamingQuery:
     """Appends the first delivery of each identifier to a table of the store; earlier batches win over later ones.
 
-    History is unbounded, so identifiers are looked up in the store and not in a state with a watermark.
+    History is unbounded, so identifiers are looked up in the store and not in a state with a watermark. A batch is an
+    increment of what is new in it; of what is stored only the identifiers are read.
     """
 
     def batch(df: DataFrame, _epoch: int) -> None:
-        if store.version(table):
-            stored = store.read(table)
-            fresh = cut(new_deliveries(df, stored, key, arrived, row_id))
-            store.publish(table, stored.unionByName(fresh))
-        else:
-            store.publish(table, first_deliveries(df, key, arrived, row_id))
+        fresh = new_deliveries(df, store.read(table), key, arrived, row_id) if store.version(table) else first_deliveries(df, key, arrived, row_id)
+        store.append(table, cut(fresh))
+        store.compact(table)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
