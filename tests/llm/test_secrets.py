@@ -100,3 +100,17 @@ def test_every_setting_of_a_line_and_values_of_any_length():
         (f"API_TOKEN={key * 40} next", "API_TOKEN=[redacted:assignment] next"),
     ):
         assert mask(line, d.find([line])[0]) == want
+
+
+@pytest.mark.parametrize("n", [24, 90, 150, 250, 401, 700, 5_000, 100_000])
+def test_no_sign_of_a_value_of_any_length_is_left(n):
+    body = ("aB3xQ9zLm7Tk" * n)[:n]
+    far = "x " * 150
+    texts = [
+        f"API_TOKEN={body}", f'password: "{body}"', f"postgres://me:{body}@db.example/x", f"<password>{body}</password>", f"mysql {far}-p{body}", f"redis-cli {far}-a {body}", f"curl {far}-u me:{body}",
+        f"GET https://h.example/{'p/' * 200}?a=1&access_token={body}", f"{'very_' * 20}long_api_key = '{body}'", f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----", f"Authorization: Bearer {body}", f"ghp_{body}",
+    ]
+    for text, found in zip(texts, Detector().find(texts), strict=True):
+        masked = mask(text, found)
+        assert found and "aB3" not in masked and "m7Tk" not in masked, text[:80]
+        assert masked[:4] == text[:4] or text.startswith("ghp_")

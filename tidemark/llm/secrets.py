@@ -113,31 +113,52 @@ def required_trigrams(pattern: str) -> tuple:
 # Names of settings whose values are secret, as the last part of a longer name in any case style.
 NAME = r"(?:secret(?:[_-]?(?:access[_-]?)?key)?|passw(?:or)?d|passwort|contraseña|passphrase|pwd|pass|(?:auth|access|api|bearer|refresh|session)?[_-]?token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|_key)"
 
-# A regex for each form; the secret is in group v (and w where it is split). Fixed formats of well-known keys first.
-KEYS = r"(?:sk-(?:[a-z]{2,8}-)*[A-Za-z0-9_-]{16,}|gh[pousr]_[A-Za-z0-9]{16,}|github_pat_[A-Za-z0-9_]{20,}|glpat-[A-Za-z0-9_-]{16,}|xox[abeoprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{30,}|(?:AKIA|ASIA)[0-9A-Z]{16}|[rsp]k_(?:live|test)_[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}|[a-z]{2,12}_(?:key|tok|token|pat|secret|sk)_[A-Za-z0-9]{16,})"
+# The published openings of providers' keys and the signs of what follows, one entry each. A body of fewer
+# than 16 signs is too short for a key of any of them.
+PROVIDERS = {
+    "aws_access_key_id": r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])",
+    "github_token": r"gh[oprsu]_[A-Za-z0-9]{16,}",
+    "github_fine_grained": r"github_pat_[A-Za-z0-9_]{22,}",
+    "gitlab_token": r"gl(?:pat|dt|rt|ptt|oas)-[A-Za-z0-9_-]{20,}",
+    "google_api_key": r"AIza[A-Za-z0-9_-]{35}",
+    "google_oauth": r"ya29\.[A-Za-z0-9_-]{20,}",
+    "hugging_face": r"hf_[A-Za-z0-9]{30,}",
+    "json_web_token": r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+    "model_provider": r"sk-(?:[a-z0-9]+-)*[A-Za-z0-9_-]{16,}",
+    "npm_token": r"npm_[A-Za-z0-9]{36}",
+    "pypi_token": r"pypi-AgE[A-Za-z0-9_-]{40,}",
+    "sendgrid": r"SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}",
+    "slack": r"xox[abeoprs]-[A-Za-z0-9-]{10,}",
+    "stripe": r"(?:sk|rk|whsec)_(?:live_|test_)?[A-Za-z0-9]{24,}",
+    "named_by_kind": r"[a-z]+_(?:key|tok|token|pat|secret|sk)_[A-Za-z0-9]{16,}",
+}
+KEYS = "(?:" + "|".join(PROVIDERS.values()) + ")"
+
+# A regex for each form; the secret is in group v (and w where it is split). No length has an upper bound: a value reaches
+# to the sign that ends it. What stands before a name is looked up where the name was found.
 PATTERNS: dict[str, str] = {
     "provider_key": rf"(?<![A-Za-z0-9_-])(?P<v>{KEYS})",
-    "private_key": r"(?P<v>-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----)",
+    "private_key": r"(?P<v>-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)",
     "bearer": r"(?i)\bbearer\s+(?P<v>[A-Za-z0-9._~+/=-]{16,})",
     "basic": r"(?i)\bbasic\s+(?P<v>[A-Za-z0-9+/]{8,}={0,2})(?![A-Za-z0-9+/=])",
     "header_key": r"(?i)\b(?:x-api-key|x-auth-token|x-access-token|api-key|apikey)[\"']?\s*[:=]\s*[\"']?(?P<v>[A-Za-z0-9+/=_.~-]{16,})",
-    "connection": r"(?<![A-Za-z0-9])[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s:/@\"']{0,64}:(?P<v>[^\s@/\"']{3,128})@(?=[A-Za-z0-9\[])",
+    "connection": r"(?<=[A-Za-z0-9])://[^\s:/@\"']*:(?P<v>[^\s@/\"']{3,})@(?=[A-Za-z0-9\[])",
     "webhook": r"(?i)\bhttps?://(?:[a-z0-9.-]*\bhooks?\b[a-z0-9.-]*/|[a-z0-9.-]+/(?:[a-z0-9_-]+/)*(?:web)?hooks?/)(?P<v>[A-Za-z0-9_/-]{20,})",
-    "url_parameter": r"(?i)https?://[^\s\"'<>]{1,256}?[?&](?:access_token|auth_token|api_?key|token|auth|key|sig|signature|secret|password|pwd|client_secret)=(?P<v>[^\s&\"'#<>]{12,})",
-    "assignment": rf"(?i)(?<![A-Za-z0-9])[\"']?(?P<k>[\w.-]{{0,60}}?{NAME})[\"']?\s*(?::=|=>|[:=])\s*(?P<q>[\"'`]?)(?P<v>[^\s\"'`]{{1}}[^\n\"'`]{{0,400}})",
-    "element": rf"(?i)<(?P<k>[\w.-]{{0,40}}{NAME})>(?P<v>[^<>\n]{{4,200}})</",
-    "split_key": r"(?i)[\w.-]{0,60}(?:key|secret|token|passw(?:or)?d)[\"']?\s*[:=]\s*[\"'](?P<v>[A-Za-z0-9+/=_-]{6,})[\"']\s*\+\s*[\"'](?P<w>[A-Za-z0-9+/=_-]{4,})[\"']",
+    "url_parameter": r"(?i)[?&](?:access_token|auth_token|api_?key|token|auth|key|sig|signature|secret|password|pwd|client_secret)=(?P<v>[^\s&\"'#<>]{12,})",
+    "assignment": rf"(?i)(?P<k>{NAME})[\"']?\s*(?::=|=>|[:=])\s*(?P<q>[\"'`]?)(?P<v>[^\s\"'`])",
+    "element": rf"(?i)(?P<k>{NAME})>(?P<v>[^<>\n]{{4,}})</",
+    "split_key": r"(?i)(?:key|secret|token|passw(?:or)?d)[\"']?\s*[:=]\s*[\"'](?P<v>[A-Za-z0-9+/=_-]{6,})[\"']\s*\+\s*[\"'](?P<w>[A-Za-z0-9+/=_-]{4,})[\"']",
     "said_password": r"(?i)\b(?:password|passwort|kennwort|contraseña|passphrase|passcode)\s+(?:is|was|ist|lautet|es|now)\s+[\"'`]?(?P<v>[^\s\"'`]{6,})",
     "password_of": r"(?i)\b(?:password|passwort|kennwort|contraseña|clave|passphrase|token)\s+(?:for|of|für|von|de|del|para)\s+[^\s:]+\s+(?:is|was|ist|lautet|es|era)\s+[\"'`]?(?P<v>[^\s\"'`]{5,})",
     "password_for": r"(?i)\b(?:passwd|password|passphrase|token)\s+(?:for|of|für|de)\s+[^\s:]+:\s*[\"'`]?(?P<v>[^\s\"'`]{5,})",
     "netrc": r"(?i)\bmachine\s+\S+\s+login\s+\S+\s+password\s+(?P<v>\S{4,})",
     "login_pair": r"(?i)\b(?:log ?in|sign in|logged in|anmelden|entra)\s+(?:with|as|mit|con)\s+\S+\s?/\s?(?P<v>[^\s,;]{5,})",
-    "client_flag": r"(?i)\b(?:mysql|mysqldump|mariadb|mysqladmin|mongo|mongosh|sshpass|clickhouse-client)\b[^\n]{0,200}?\s-p\s?(?P<q>[\"']?)(?P<v>[^\s\"']{4,})",
-    "cache_flag": r"(?i)\bredis-cli\b[^\n]{0,200}?\s-a\s+[\"']?(?P<v>[^\s\"']{4,})",
-    "user_flag": r"(?i)\b(?:curl|wget|http)\b[^\n]{0,200}?\s(?:-u|--user)[ =][\"']?[^\s:\"'$]+:(?P<v>[^\s\"']{4,})",
+    "client_flag": r"(?i)\b(?:mysql|mysqldump|mariadb|mysqladmin|mongo|mongosh|sshpass|clickhouse-client)\b[^\n]*?\s-p\s?(?P<q>[\"']?)(?P<v>[^\s\"']{4,})",
+    "cache_flag": r"(?i)\bredis-cli\b[^\n]*?\s-a\s+[\"']?(?P<v>[^\s\"']{4,})",
+    "user_flag": r"(?i)\b(?:curl|wget|http)\b[^\n]*?\s(?:-u|--user)[ =][\"']?[^\s:\"'$]+:(?P<v>[^\s\"']{4,})",
     "long_flag": r"(?i)(?<![\w-])--(?:password|passwd|pass|token|api-key|auth-token|secret|access-key|secret-key)[= ](?P<q>[\"']?)(?P<v>[^\s\"']{6,})",
-    "connect_call": r"(?i)\b(?:connect|login|authenticate|create_?client|auth)\(\s*(?:[\"'][^\"'\n]*[\"']\s*,\s*){1,3}[\"'](?P<v>[^\"'\n]{4,})[\"']\s*\)",
-    "said_key": r"(?i)(?:\bkey\b[^:\n]{0,40}:|密钥[:：是为]?|令牌[:：是为]?)\s*[\"'`]?(?P<v>[A-Za-z0-9+/=_.!@#$%^&*~-]{16,})",
+    "connect_call": r"(?i)\b(?:connect|login|authenticate|create_?client|auth)\(\s*(?:[\"'][^\"'\n]*[\"']\s*,\s*)+[\"'](?P<v>[^\"'\n]{4,})[\"']\s*\)",
+    "said_key": r"(?i)(?:\bkey\b[^:\n]*:|密钥[:：是为]?|令牌[:：是为]?)\s*[\"'`]?(?P<v>[A-Za-z0-9+/=_.!@#$%^&*~-]{16,})",
     "said_password_zh": r"(?:密码|口令)(?:[:：]|是|为)\s*[\"'`]?(?P<v>[!-~]{5,})",
     "shown_file": r"(?im)^[^\n]*\b(?:cat|type|less|more|head)\s+\S*(?:credential|secret|token|passwd|\.netrc|\.pgpass|id_rsa)\S*[^\S\n]*\r?\n[^\S\n]*(?P<v>[A-Za-z0-9+/=_.~!@#$%^&*-]{16,})[^\S\n]*\r?$",
 }
@@ -148,8 +169,10 @@ PLACEHOLDER = re.compile(
     r"|(?:^|[\W_])(?:redacted|masked|placeholder|your[_-]?\w+[_-]here|changeme)(?:$|[\W_])"
 )
 CODE_VALUE = re.compile(
-    r"(?i)^(?:(?:os|process|env|sys|config|settings|secrets|conf|vault|std|self|this|args|opts|options|request|req|params|ctx)[.\[(:]|getenv|env\b|lookup|await\b|new\b|new[A-Z(]|function\b|lambda\b|import\b|require\b|async\b|[A-Za-z_][\w.:]*\(|[a-z_]\w*(?:\.\w+)+\s*[;,)]?$|[A-Za-z_]\w*\[)"
+    r"(?i)(?:(?:os|process|env|sys|config|settings|secrets|conf|vault|std|self|this|args|opts|options|request|req|params|ctx)[.\[(:]|getenv|env\b|lookup|await\b|new\b|new[A-Z(]|function\b|lambda\b|import\b|require\b|async\b|[A-Za-z_][\w.:]*\(|[a-z_]\w*(?:\.\w+)+\s*[;,)]?$|[A-Za-z_]\w*\[)"
 )
+REST = re.compile(r"[^\n\"'`]*")
+NAME_SIGNS = re.compile(r"[\w.-]")
 WORD = re.compile(r"(?:(?!</)[^\s;,\"'`])*")
 QUOTED_WORD = re.compile(r"[^\s\"'`]*")
 SOFT_NAMES = re.compile(r"(?i)(?:token|credentials?|_key|key|pass|secret)$")
@@ -171,6 +194,13 @@ def _is_token(value: str) -> bool:
     return len(value) >= 12 and _entropy(value) >= 2.8 and (any(c.isdigit() for c in value) or len({c.isupper() for c in value if c.isalpha()}) == 2 and len(value) >= 20)
 
 
+def _name_start(text: str, at: int) -> int:
+    """Where the name begins that goes on at ``at``."""
+    while at and NAME_SIGNS.match(text, at - 1):
+        at -= 1
+    return at
+
+
 class Detector:
     """The compiled forms with the trigrams each of them requires."""
 
@@ -226,14 +256,14 @@ class Detector:
             start, end = m.span("v")
             value = m["v"]
             if form == "assignment":
-                value = self._assigned(m, self._value(m, text))
+                value = self._assigned(m, self._value(m, text), text)
                 if value is None:
                     continue
                 end = start + len(value)
             elif form == "private_key":
                 yield start, self._key_end(text, start, end), form
                 continue
-            if PLACEHOLDER.search(value):
+            if PLACEHOLDER.search(value) or form == "element" and text[_name_start(text, m.start("k")) - 1 :][:1] != "<":
                 continue
             if form in ("client_flag", "cache_flag", "user_flag", "netrc", "login_pair", "connect_call", "said_password", "said_password_zh", "password_of", "password_for", "element") and not _is_password(value):
                 continue
@@ -263,12 +293,13 @@ class Detector:
         return WORD.match(text, start)[0]
 
     @staticmethod
-    def _assigned(m: re.Match, value: str) -> str | None:
+    def _assigned(m: re.Match, value: str, text: str) -> str | None:
         """The value of a setting if it is a secret."""
-        name, quote = m["k"].lower(), m["q"]
+        name, quote = text[_name_start(text, m.start("k")) : m.end("k")].lower(), m["q"]
         if not quote:
             value = value.rstrip(")}]")
-            if CODE_VALUE.search(m["v"]) or CODE_VALUE.search(value):
+            start = m.start("v")
+            if CODE_VALUE.match(text, start, REST.match(text, start).end()) or CODE_VALUE.match(value):
                 return None
         if PLACEHOLDER.search(value) or value.startswith("-----") or len(value) < 5:
             return None
@@ -292,7 +323,7 @@ class Detector:
 
     @staticmethod
     def _key_end(text: str, start: int, end: int) -> int:
-        closed = re.compile(r"-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----").search(text, end)
+        closed = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----").search(text, end)
         if closed:
             return closed.start()
         body = re.compile(r"(?:\s*[A-Za-z0-9+/=\\]{16,})*").match(text, end)
