@@ -107,3 +107,15 @@ def test_components_of_a_path_and_a_star(spark):
     assert {v for k, v in got.items() if k <= 40} == {0} and {v for k, v in got.items() if k >= 100} == {100} and len(got) == 101
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
     assert F
+
+
+def test_no_pair_of_a_large_template_is_lost(spark):
+    """Texts of one template: all share 28 words, and two by two five more; only those two are similar enough."""
+    rows = []
+    for i in range(1500):
+        common = [f"c{k}" for k in range(28)] + [f"p{i}x{k}" for k in range(5)]
+        rows += [(2 * i, " ".join([*common, *(f"a{i}x{k}" for k in range(7))])), (2 * i + 1, " ".join([*common, *(f"b{i}x{k}" for k in range(7))]))]
+    df = spark.createDataFrame(rows, "id long, content string")
+    assert {tuple(r) for r in near_dup.similar_pairs(df, "id", "content").collect()} == {(2 * i, 2 * i + 1) for i in range(1500)}
+    got = near_dup.groups(df, "id", "content", threshold=0.7).collect()
+    assert len(got) == 3000 and {(r["group_id"], r["n_links"]) for r in got} == {(2 * i, 1) for i in range(1500)}

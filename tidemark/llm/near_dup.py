@@ -2,28 +2,39 @@
 
 A record is the set of its distinct words; records with the same set are one class, so copies cost one row. A class is
 hashed once: its words fall into ``bands * rows`` bins, each bin keeps its least hash, and an empty bin borrows from the
-first filled bin on its own random walk (optimal densification). ``rows`` successive bins make a bucket key. A bucket
-gives edges from its members to its first ``hubs`` members in an order that differs by bucket, so their number grows with
-the members and not with their square; the rest of a bucket is reached over the hubs: linked classes are closed over
-common neighbours, also weakly linked ones, until no new link appears. Every edge is checked on the words themselves.
+first filled bin on its own random walk (optimal densification). ``rows`` successive bins make a bucket key, and there are
+as many bands as two sets at the threshold need to share a bucket but for one case in ten million.
 
-Groups and the numbers of links, which need no list of pairs, are counted exactly, by the rarest words in common.
+A bucket is an aggregate: how many members it has, and its hub, the least of them. Its edges are a star, from each member to
+the hub, so they are as many as the members. A star says all about a bucket of two. The members of larger buckets are
+compared among themselves exactly, by the rarest words in common, in blocks of bounded size: no pair of a bucket is lost,
+however large it is. Every edge is checked on the words themselves.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.graph import components
 from tidemark.session import cut
 
-WEAK = 0.15  # a hub may be this much less similar than the threshold and still lead from one class to another
+LOSS = 1e-7  # the share of pairs exactly at the threshold that may share no bucket
+MOST_BANDS = 64
+
+
+def banding(threshold: float, loss: float = LOSS) -> tuple[int, int]:
+    """Bands and rows of a band: the most rows with which few enough bands let sets at the threshold meet but for ``loss``."""
+    rows = 1
+    while math.log(loss) / math.log1p(-(threshold ** (rows + 1))) <= MOST_BANDS:
+        rows += 1
+    return math.ceil(math.log(loss) / math.log1p(-(threshold**rows))), rows
 
 
 def words(text: Column) -> Column:
@@ -53,17 +64,18 @@ def bucket_keys(bands: int, rows: int):  # noqa: ANN201
     """A function of an array of word hashes: the keys of its ``bands`` buckets."""
 
     @F.pandas_udf("array<long>")
-    def keys(hashes: pd.Series) -> pd.Series:
+    def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         sign = OnePermutation(bands * rows)
         mix = np.random.default_rng(7).integers(1, 2**63, (rows,), dtype=np.uint64) | np.uint64(1)
         salt = np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        out = []
-        with np.errstate(over="ignore"):
-            for h in hashes:
-                s = sign(np.asarray(h)).reshape(bands, rows)
+        for hashes in batches:
+            if not len(hashes):
+                yield pd.Series([], dtype=object)
+                continue
+            with np.errstate(over="ignore"):
+                s = np.stack([sign(np.asarray(h)) for h in hashes]).reshape(len(hashes), bands, rows)
                 s = (s ^ (s >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-                out.append(((s * mix).sum(axis=1, dtype=np.uint64) ^ salt).view(np.int64))
-        return pd.Series(out)
+                yield pd.Series(list(((s * mix).sum(axis=2, dtype=np.uint64) ^ salt).view(np.int64)))
 
     return keys
 
@@ -88,40 +100,34 @@ def _check(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").withColumn("_i", both).select("a", "b", (F.col("_i") / (F.col("na") + F.col("nb") - F.col("_i"))).alias("sim")).where(F.col("sim") >= least - 1e-12)
 
 
-def links(classes: DataFrame, *, threshold: float, bands: int, rows: int, hubs: int) -> DataFrame:
-    """``a``, ``b``, ``sim``: the linked pairs of classes; links over common neighbours are added until none is new."""
-    hashed = classes.select("cls", "n", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-    spread = hashed.select("cls", "n", F.explode(bucket_keys(bands, rows)("h")).alias("bucket"))
-    w = Window.partitionBy("bucket").orderBy(F.xxhash64("cls", "bucket"), "cls")
-    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hub = [F.nth_value(F.struct("cls", "n"), i + 1).over(so_far).alias(f"hub{i}") for i in range(hubs)]
-    stars = spread.select("cls", "n", *hub).select("cls", "n", F.explode(F.array_compact(F.array(*[f"hub{i}" for i in range(hubs)]))).alias("hub"))
-    # Sets whose sizes differ too much can't be similar enough.
-    fits = F.least("n", "hub.n") >= F.greatest("n", "hub.n") * (threshold - WEAK)
-    edges = stars.where((F.col("hub.cls") != F.col("cls")) & fits).select(F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b")).distinct()
-    checked = cut(_check(edges, classes, threshold - WEAK))
-    seen, fresh = checked, checked
-    while True:
-        way = seen.select("a", "b").union(seen.select("b", "a")).toDF("hub", "x")
-        new = fresh.select("a", "b").union(fresh.select("b", "a")).toDF("hub", "y")
-        two = way.join(new, "hub").where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        two = two.join(seen.select("a", "b"), ["a", "b"], "left_anti")
-        fresh = cut(_check(two, classes, threshold))
-        if fresh.isEmpty():
-            return seen.where(F.col("sim") >= threshold - 1e-12)
-        seen = cut(seen.unionByName(fresh))
-
-
-def similar_pairs(df: DataFrame, record_id: str, text: str, *, threshold: float = 0.7, bands: int = 72, rows: int = 6, hubs: int = 4) -> DataFrame:
+def buckets(classes: DataFrame, *, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The stars of buckets of two classes (``a`` the hub, ``b``), and the classes of larger buckets (``cls``)."""
+    bands, rows = banding(threshold)
+    keyed = cut(classes.select("cls", bucket_keys(bands, rows)(F.transform("words", lambda w: F.xxhash64(w))).alias("keys")))
+    spread = keyed.select("cls", F.explode("keys").alias("bucket"))
+    several = cut(spread.groupBy("bucket").agg(F.count("*").alias("n"), F.min("cls").alias("a"), F.max("cls").alias("b")).where("n > 1"))
+    crowd = spread.join(several.where("n > 2").select("bucket"), "bucket", "left_semi").select("cls").distinct()
+    return several.where("n = 2").select("a", "b").distinct(), crowd
+
+
+def links(classes: DataFrame, *, threshold: float) -> DataFrame:
+    """``a`` < ``b``: the linked pairs of classes, each once."""
+    stars, crowd = buckets(classes, threshold=threshold)
+    among = compared(classes.join(crowd, "cls", "left_semi"), threshold=threshold, pairs=True)
+    return _check(stars, classes, threshold).select("a", "b").union(among).distinct()
+
+
+def similar_pairs(df: DataFrame, record_id: str, text: str, *, threshold: float = 0.7) -> DataFrame:
     """``id_a`` < ``id_b``: all pairs of records whose words are at least ``threshold`` similar (Jaccard).
 
-    Copies are paired too. Null, empty and wordless texts are similar to nothing, a repeated id isn't paired with
-    itself, ties don't matter, an empty table gives an empty result; other columns aren't read.
+    Copies are paired too, so the output is as large as that; :func:`groups` is the form whose output is linear. Null,
+    empty and wordless texts are similar to nothing, a repeated id isn't paired with itself, ties don't matter, an empty
+    table gives an empty result; other columns aren't read.
     """
     classes, members = word_classes(df, record_id, text)
-    found = links(classes, threshold=threshold, bands=bands, rows=rows, hubs=hubs)
+    found = links(classes, threshold=threshold)
     left, right = members.select(F.col("cls").alias("a"), F.col("id").alias("x")), members.select(F.col("cls").alias("b"), F.col("id").alias("y"))
-    between = found.select("a", "b").join(left, "a").join(right, "b").select("x", "y")
+    between = found.join(left, "a").join(right, "b").select("x", "y")
     several = members.join(members.groupBy("cls").count().where("count > 1").select("cls"), "cls", "left_semi")
     within = several.select("cls", F.col("id").alias("x")).join(several.select("cls", F.col("id").alias("y")), "cls").where("x < y").select("x", "y")
     return between.unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).where("id_a < id_b").distinct()
@@ -178,13 +184,15 @@ def _linked(key: tuple[int, int, int, int], block: np.ndarray, sets: list[np.nda
     return a[keep], b[keep]
 
 
-def link_counts(classes: DataFrame, *, threshold: float) -> DataFrame:
+def compared(classes: DataFrame, *, threshold: float, pairs: bool = False) -> DataFrame:
     """``cls``, ``n_links``, ``label``: links of a class found by one task, and the least class it is linked with there.
 
+    With ``pairs``, the linked pairs instead (``a`` < ``b``), each found by one task.
+
     Exact: of two sets that are similar enough, each holds their first ``k`` common words among its first
     ``n - ceil(threshold * n) + k``, in any order that is the same for all. Those ``k`` words are the key; with the
-    rarest words first, few sets share one. The members of a key are compared in pairs of blocks, and a task gives a
-    row for each of its members and none for a pair, so that a key may have any number of links.
+    rarest words first, few sets share one. The members of a key are compared in pairs of blocks. Unless pairs are asked
+    for, a task gives a row for each of its members and none for a pair, so that a key may have any number of links.
     """
     n = F.size("w")
     most = n - F.ceil(n * F.lit(threshold) - 1e-9).cast("int")
@@ -210,6 +218,8 @@ def link_counts(classes: DataFrame, *, threshold: float) -> DataFrame:
         a, b = _linked(key, np.array([x for x, _, _ in held]), [s for *_, s in held], threshold)
         if not len(a):
             return None
+        if pairs:
+            return np.minimum(cls[a], cls[b]), np.maximum(cls[a], cls[b])
         label = cls.copy()
         while True:
             least, before = np.minimum(label[a], label[b]), label.copy()
@@ -225,7 +235,8 @@ def link_counts(classes: DataFrame, *, threshold: float) -> DataFrame:
         held: list = []
 
         def rows_of(parts: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in parts])) for k in range(3)], names=["cls", "n_links", "label"])
+            names = ["a", "b"] if pairs else ["cls", "n_links", "label"]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in parts])) for k in range(len(names))], names=names)
 
         for batch in batches:
             out = []
@@ -242,17 +253,19 @@ def link_counts(classes: DataFrame, *, threshold: float) -> DataFrame:
         if len(held) > 1 and (got := task(last, held)):
             yield rows_of([got])
 
-    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "cls long, n_links long, label long")
+    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long" if pairs else "cls long, n_links long, label long")
 
 
 def groups(df: DataFrame, record_id: str, text: str, *, threshold: float = 0.8) -> DataFrame:
     """``id``, ``group_id`` (the least id linked to it, over any number of steps) and ``n_links``: the classes its class is linked to.
 
-    Exact, see :func:`link_counts`. One row for each record that has words; no pair is written out, so a group may hold
-    any share of the records.
+    The classes that share a bucket are compared exactly, see :func:`compared`; all links of a class are counted, none
+    twice. One row for each record that has words; no pair is written out, so a group may hold any share of the records.
     """
     classes, members = word_classes(df, record_id, text)
-    counted = cut(link_counts(classes, threshold=threshold))
+    stars, crowd = buckets(classes, threshold=threshold)
+    met = stars.select(F.col("a").alias("cls")).union(stars.select("b")).union(crowd).distinct()
+    counted = cut(compared(classes.join(met, "cls", "left_semi"), threshold=threshold))
     label = components(counted.where("label != cls").select(F.col("label").alias("a"), F.col("cls").alias("b")))
     degree = counted.groupBy("cls").agg(F.sum("n_links").alias("n_links"))
     found = members.join(label.withColumnRenamed("node", "cls"), "cls", "left").join(degree, "cls", "left")

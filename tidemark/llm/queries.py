@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,11 +17,16 @@ STATEMENTS = (("memory_vectors", "id"), ("extracted_preferences", "pref_id"))
 
 def _each(spark: SparkSession, sf: str, which: tuple, run: Callable[..., DataFrame]) -> DataFrame:
     """The union of one operator's rows over several tables, with the table's name."""
-    out: DataFrame | None = None
-    for name, *cols in which:
-        part = run(tables(spark, sf, name), *cols).select(F.lit(name).alias("record_table"), "*")
-        out = part if out is None else out.unionByName(part)
-    return out
+
+    def part(name: str, *cols: str) -> DataFrame:
+        return run(tables(spark, sf, name), *cols).select(F.lit(name).alias("record_table"), "*")
+
+    # Steps that cut their lineage run at once; the tables then share the executors instead of waiting for each other.
+    with ThreadPoolExecutor(len(which)) as pool:
+        first, *rest = pool.map(lambda x: part(*x), which)
+    for more in rest:
+        first = first.unionByName(more)
+    return first
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
