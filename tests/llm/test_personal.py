@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidemark.llm import feistel
-from tidemark.llm.personal import DNI_LETTERS, Finder, _resident_check, find_personal, redact_personal
+from tidemark.llm.personal import DNI_LETTERS, GIVEN_NAMES, Finder, _digits, _resident_check, _ssn_valid, _tax_check, find_personal, learn_names, phone_parts, redact_personal
 
 KEY = b"secret"
 FINDER = Finder(KEY)
@@ -114,9 +114,76 @@ def test_rows(spark):
     df = spark.createDataFrame(rows, "id long, text string, both string").withColumn("text_redacted", __import__("pyspark").sql.functions.lit("old"))
     got = sorted(map(tuple, find_personal(df, "id", "text").collect()))
     assert got == [(1, "email"), (1, "email"), (1, "person_name"), (1, "person_name"), (4, "email")]
-    out = redact_personal(df, "text")
+    out = redact_personal(df, "text", "k")
     assert set(out.columns) == {"id", "text", "both", "text_redacted", "pii_found"}
     by = {r["id"]: r for r in out.collect()}
     assert by[2]["text_redacted"] is None and by[2]["pii_found"] == [] and by[3]["text_redacted"] == ""
     assert by[4]["text_redacted"].startswith("x" * 200_000) and "m@x" not in by[4]["text_redacted"]
-    assert find_personal(df.limit(0), "id", "text").count() == 0 and redact_personal(df.limit(0), "text").count() == 0
+    assert find_personal(df.limit(0), "id", "text").count() == 0 and redact_personal(df.limit(0), "text", "k").count() == 0
+
+
+# Names of many countries whose given names no list of the program holds.
+HELD_OUT = """
+Deepika Sharma|Kwame Mensah|Tobias Brandt|Nkechi Okafor|Siobhan Gallagher|Thiago Almeida|Ingeborg Lindqvist|Yusra Haddad|Bartosz Nowak|Anneliese Vogt
+Chidinma Eze|Ravindra Kulkarni|Milica Jovanovic|Eero Virtanen|Soledad Quiroga|Ottavio Bellini|Wiebke Janssen|Farida Rahimi|Tamsin Hargreaves|Zoltan Szabo
+Aoife Kavanagh|Dagmar Kratochvil|Ikechukwu Nwosu|Leocadia Figueroa|Björn Halvorsen|Parvati Venkatesan|Ysabel Moncada|Ruairi Donnelly|Svetlana Morozova|Hinrich Petersen
+Xochitl Arriaga|Tadeusz Wojcik|Gudrun Eriksdottir|Makena Wanjiru|Loredana Esposito|Emre Yildirim|Casimir Dubois|Rutger Hoekstra|Imelda Santiago|Nils Aagaard
+""".replace("\n", "|").strip("|").split("|")
+
+
+def test_names_of_no_list_are_found():
+    names = [n for n in HELD_OUT if n]
+    assert len(names) == 40 and not {n.split()[0].lower() for n in names} & GIVEN_NAMES
+    found = [n for n in names if any(f"ask {n} about the build"[a:b] == n for a, b, *_ in FINDER.find(f"ask {n} about the build"))]
+    assert len(found) >= 36, set(names) - set(found)
+
+
+@pytest.mark.parametrize("text", ["Elena Martin said", "Michael George said", "ask Peter Frank"])
+def test_surnames_that_are_given_names_too(text):
+    assert kinds(text) == ["person_name"]
+
+
+def test_learnt_names_are_known_in_any_case(spark):
+    texts = ["ask Thandiwe Kestrelsen now", "per Thandiwe Ormmakis, no", "thandiwe velquist said", "Velquist, Thandiwe", "THANDIWE VELQUIST", None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    assert learn_names(df, "text") == ["thandiwe"]
+    assert {r["record_id"] for r in find_personal(df, "id", "text").collect()} == {0, 1, 2, 3, 4}
+
+
+def test_mail_in_prose_after_a_tool_is_mail():
+    assert kinds("from git, ask anna.k@corp.com please") == ["email"]
+    assert kinds("scp -P 22 ./a.txt ops@build.host.test:/tmp") == kinds("ssh -i ~/.ssh/k ops@build.host.test") == []
+
+
+def test_a_phone_number_is_one_however_written():
+    def pseudonym(t):
+        ((_, _, kind, p),) = FINDER.find(t)
+        assert kind == "phone"
+        a, b, american = phone_parts(p)
+        return _digits(p)[a:b], american, p
+
+    germans = [pseudonym(f"call {x}") for x in ("+49 30 1234567", "0049 30 1234567", "+49 (0)30 1234567", "030 1234567")]
+    assert len({g[0] for g in germans}) == 1 and germans[0][2].startswith("+49 30 ") and germans[0][2] != "+49 30 1234567"
+    us = [pseudonym(x) for x in ("(415) 555-0134", "+1 415-555-0134", "1-415-555-0134 ext. 7")]
+    assert len({u[0] for u in us}) == 1 and all(u[1] for u in us) and us[0][0][3] in "23456789"
+
+
+@given(st.integers(0, 10**9 - 1))
+@settings(max_examples=300, deadline=None)
+def test_numbers_stay_in_their_series(n):
+    d = str(n).zfill(9)
+    valid = _ssn_valid(d)
+    out = feistel.permute_within(d, KEY, valid)
+    assert valid(out) if valid(d) else len(out) == 9
+    first = str(10**9 + n)
+    text = f"tax id {first}{_tax_check(first)}"
+    (found,) = [x for x in FINDER.find(text) if x[2] == "identity_number"]
+    assert found[3][0] != "0" and _tax_check(found[3][:10]) == found[3][10]
+
+
+def test_a_key_is_needed(spark):
+    df = spark.createDataFrame([(1, "x")], "id long, text string")
+    with pytest.raises(ValueError):
+        redact_personal(df, "text", "")
+    with pytest.raises(TypeError):
+        redact_personal(df, "text")

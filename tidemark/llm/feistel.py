@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+from collections.abc import Callable
 
 ROUNDS = 8
 FIRST_DAY = dt.date(1900, 1, 1).toordinal()
@@ -54,6 +55,17 @@ def restore_digits(digits: str, key: bytes) -> str:
     return left + right
 
 
+def permute_within(digits: str, key: bytes, valid: Callable[[str], bool]) -> str:
+    """A bijection on the valid strings among those of one length: the permutation is repeated until it is back among them.
+
+    A string that isn't valid itself is permuted once.
+    """
+    out = permute_digits(digits, key)
+    while valid(digits) and not valid(out):
+        out = permute_digits(out, key)
+    return out
+
+
 def permute_date(day: dt.date, key: bytes) -> dt.date:
     """Another valid date between 1900 and 2099, by cycle walking; dates outside that span are returned as they are."""
     at = day.toordinal() - FIRST_DAY

@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.vocabulary import tokenizer_path
 from tidemark.session import cut
 
 SLOTS = 64
-TOKENIZER = "byte_bpe_50k.tiktoken"
 
 
 @dataclass(frozen=True)
@@ -107,10 +107,6 @@ def _encoder(path: str):  # noqa: ANN202
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def tokenizer_path(name: str = TOKENIZER) -> str:
-    return f"/opt/tokenizers/{name}"
-
-
 def token_counts(docs: DataFrame, doc_id: str, text: str, path: str | None = None) -> DataFrame:
     """``doc_id`` (long) and ``n_tokens``; null and empty texts have none. Other columns aren't read."""
     where = path or tokenizer_path()

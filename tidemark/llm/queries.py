@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from secrets import token_hex
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,13 +30,23 @@ def _each(spark: SparkSession, sf: str, which: tuple, run: Callable[..., DataFra
     return first
 
 
+def _names(spark: SparkSession, sf: str) -> list[str]:
+    """The given names that both tables show."""
+    first, second = (tables(spark, sf, name).select(F.col(text).alias("text")) for name, _, text in TEXTS)
+    return personal.learn_names(first.unionByName(second), "text")
+
+
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _each(spark, sf, TEXTS, personal.find_personal)
+    names = _names(spark, sf)
+    return _each(spark, sf, TEXTS, lambda df, key, text: personal.find_personal(df, key, text, names=names))
 
 
 def p1_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """Under the key that the session names in ``spark.tidemark.pseudonym.key``, or one that is forgotten with it."""
+    names, secret = _names(spark, sf), spark.conf.get("spark.tidemark.pseudonym.key", None) or token_hex(32)
+
     def run(df: DataFrame, key: str, text: str) -> DataFrame:
-        return personal.redact_personal(df.select(F.col(key).alias("record_id"), F.col(text).alias("text")), "text").select("record_id", "text_redacted", F.size("pii_found").alias("n_found"))
+        return personal.redact_personal(df.select(F.col(key).alias("record_id"), F.col(text).alias("text")), "text", secret, names=names).select("record_id", "text_redacted", F.size("pii_found").alias("n_found"))
 
     return _each(spark, sf, TEXTS, run)
 
