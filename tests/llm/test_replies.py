@@ -53,3 +53,21 @@ def test_held_out_languages(spark):
     held = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 2 = 1 and lang is not null and n_chars > 300 and source not in ('config_file', 'log_excerpt')").limit(1500)
     rows = [(r["text"], r["lang"].lower()) for r in held.collect()]
     assert sum(model.posterior(t)[0] == lang for t, lang in rows) / len(rows) > 0.97
+
+
+@pytest.mark.parametrize("text", ["Sorry, that's not something I can help with.", "I'd rather not do that one.", "Das mache ich nicht.", "No voy a hacer eso.", "我不会做这个。", "I'm afraid I'm not able to write that for you.", "No puedo escribir esta nota.", "这个请求我不能处理。"])
+def test_refusals_in_words_that_were_not_learnt(text):
+    from tidemark.llm.refusals import DECLINING
+
+    assert text not in DECLINING and replies.defect(text, USER, MODELS) == "refusal"
+
+
+@pytest.mark.parametrize("text", ["You fixed the parser, which was unable to process empty input files.", "The login request was denied because the token had expired, so you renewed it.", "Der Server hat die Anfrage abgelehnt, du hast sie wiederholt."])
+def test_reports_of_failures_are_no_refusals(text):
+    assert not replies.refused(text, MODELS.refusals)
+
+
+def test_every_reply_is_counted(spark):
+    rows = [(i, 1, "ab." if i % 2 else "b." + "x" * 30_000) for i in range(60)]
+    got = replies.end_counts(spark.createDataFrame(rows, "result_id long, attempt_index int, raw string").repartition(5))
+    assert got["ab."] == (30, 30) and got["."] == (60, 30) and got["xxx"] == (30 * 29_998, 30)

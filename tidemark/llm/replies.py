@@ -1,8 +1,9 @@
 """Prompt and response pairs that are unusable, and why (problem 4).
 
-Two small models are fitted on bounded samples and shipped whole: a naive Bayes classifier on character n-grams, whose
-posteriors for the prompt's transcript and the reply's narrative are compared, and an end-of-text model, which says how
-likely a text ends on its last n-gram. Replies and prompts meet in one join on the result's id; the rest is a pass over
+Three small models are shipped whole: a naive Bayes classifier on character n-grams, whose posteriors for the prompt's
+transcript and the reply's narrative are compared, and a classifier of sentences that decline a task, both fitted on a
+bounded sample of labelled texts; and an end-of-text model, counted over all replies, which says how likely a text ends on
+its last n-gram. Replies and prompts meet in one join on the result's id; the rest is a pass over
 the rows.
 """
 
@@ -12,37 +13,20 @@ import json
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.refusals import IDENTIFIER, fit_refusals, refused
 from tidemark.operators.sampling import hash_sample
 
 DEFECTS = ("empty", "refusal", "copied_prompt", "truncated", "other_language")
 LANGUAGES = ("en", "de", "es", "zh")
 
-# How a task is declined, by language.
-REFUSALS = re.compile(
-    "|".join(
-        [
-            r"\bi(?:'m| am) (?:sorry|afraid)\b[^.]{0,60}\b(?:can(?:no|')t|cannot|unable|not able|won't)\b",
-            r"\bi (?:cannot|can't|can not|won't|will not|am unable to|am not able to|must decline|have to decline|must refuse)\s+(?:be |to )?(?:help|assist|comply|complete|write|writing|summari[sz]e|produce|provide|process|fulfil|do|create|answer|generate|describe|continue)",
-            r"\b(?:have to|must|need to|forced to) decline\b|\bi decline\b|\bi refuse\b",
-            r"\bas an? (?:ai |language )?(?:language model|assistant|ai|model)\b[^.]{0,60}\b(?:not able|unable|cannot|can't)\b",
-            r"\brequest (?:was |is |has been )?(?:declined|denied|refused)\b|\bunable to (?:process|comply|assist|help with|fulfil)",
-            r"\bagainst my (?:guidelines|polic|principles)|\bfor policy reasons\b|\boutside what i can do\b|\bmy apologies\b[^.]{0,60}\bnot be appropriate\b",
-            r"\bes tut mir leid\b[^.]{0,60}\bnicht\b|\bleider ablehnen\b|\bmuss ich [^.]{0,60}ablehnen\b|\b(?:kann|darf|werde) ich (?:\S+ ){0,4}nicht (?:helfen|erstellen|schreiben|zusammenfassen|bearbeiten|nachkommen)\b|\bich (?:kann|darf|werde) [^.]{0,60}nicht (?:helfen|erstellen|schreiben|zusammenfassen|bearbeiten|nachkommen)\b",
-            r"\blo siento\b[^.]{0,60}\bno\b|\bno me es posible\b|\bno puedo (?:ayudar|cumplir|resumir|escribir|procesar|completar|atender)|\bdebo (?:rechazar|declinar)|\btengo que (?:rechazar|declinar)",
-            r"抱歉[，,].{0,12}(?:无法|不能)|无法(?:协助|帮助|完成这|提供|处理这|满足)|由于.{0,6}(?:政策|规定).{0,12}(?:不能|无法)|我不能(?:总结|提供|协助|处理|撰写|完成)|拒绝.{0,6}请求",
-        ]
-    ),
-    re.IGNORECASE,
-)
 SAYS_NOTHING = {"", "n/a", "na", "none", "null", "nil", "nothing", "empty", "undefined", "todo", "tbd", "no answer", "no response"}
-IDENTIFIER = re.compile(r"\S*[\d_/\\@=<>{}]\S*|\b\w+[.-]\w\S*|\b[a-z]+[A-Z]\w*|\b[A-Z][a-z]+[A-Z]\w*")
 LETTERS = re.compile(r"[^\W\d_]+")
 FENCE = re.compile(r"^\s*```[\w-]*[ \t]*\r?\n?(.*?)\s*(?:```\s*)?$", re.DOTALL)
 SPEAKER = re.compile(r"^\s*(?:[-*•]\s+|\[\w+\]\s*)")
@@ -59,10 +43,12 @@ def grams(text: str, most: int = 3) -> Iterator[str]:
 
 @dataclass
 class Models:
-    """The language model (gram -> log probability by language) and the end-of-text model ((seen, at the end) by gram)."""
+    """The language model (gram -> log probability by language), the end-of-text model ((seen, at the end) by gram) and the
+    weights of what declines a task."""
 
     languages: dict[str, tuple[float, ...]] = field(default_factory=dict)
     ends: dict[str, tuple[int, int]] = field(default_factory=dict)
+    refusals: dict[str, float] = field(default_factory=dict)
 
     def posterior(self, text: str) -> tuple[str | None, float]:
         """The likeliest language and its posterior; none for a text without words."""
@@ -90,8 +76,11 @@ class Models:
         return 1.0
 
 
-def fit(labelled: list[tuple[str, str]], replies: list[str], *, features: int = 20_000) -> Models:
-    """Models from (text, language) rows and from replies as they came; most of the latter must be whole."""
+def fit(labelled: list[tuple[str, str]], replies: Iterable[str] = (), *, ends: dict[str, tuple[int, int]] | None = None, features: int = 20_000) -> Models:
+    """Models from (text, language) rows and from the counts of :func:`end_counts`, or of the given replies instead."""
+    if ends is None:
+        seen, ended = end_grams(read_reply(raw).text for raw in replies)
+        ends = {g: (c, ended[g]) for g, c in seen.items()}
     counts = {x: Counter() for x in LANGUAGES}
     for text, lang in labelled:
         counts[lang].update(grams(text))
@@ -101,15 +90,36 @@ def fit(labelled: list[tuple[str, str]], replies: list[str], *, features: int =
     kept = [g for g, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:features]]
     sums = {x: sum(counts[x][g] for g in kept) + 0.5 * len(kept) for x in LANGUAGES}
     languages = {g: tuple(math.log((counts[x][g] + 0.5) / sums[x]) for x in LANGUAGES) for g in kept}
+    return Models(languages, ends, fit_refusals(t for t, _ in labelled))
+
+
+def end_grams(texts: Iterable[str]) -> tuple[Counter, Counter]:
+    """How often each n-gram of one to three signs stands in the texts, and how often at the end."""
     seen, ended = Counter(), Counter()
-    for raw in replies:
-        text = read_reply(raw).text.rstrip()
+    for text in texts:
+        text = text.rstrip()
         for n in (1, 2, 3):
-            seen.update(text[i : i + n] for i in range(len(text) - n + 1))
+            seen.update(map("".join, zip(*(text[i:] for i in range(n)))))
             if len(text) >= n:
                 ended[text[-n:]] += 1
-    ends = {g: (c, ended[g]) for g, c in seen.items() if c >= 5}
-    return Models(languages, ends)
+    return seen, ended
+
+
+def end_counts(attempts: DataFrame, *, least: int = 25) -> dict[str, tuple[int, int]]:
+    """(seen, at the end) of the n-grams that stand in all replies ``least`` times and at an end at least once.
+
+    Every reply counts, whole. A partition adds up its own before anything is shuffled; what comes back is bounded by the
+    signs of the languages, not by the replies.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen, ended = end_grams(read_reply(raw).text for raw in batch.column(0).to_pylist())
+            keys = [*seen]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([seen[k] for k in keys], pa.int64()), pa.array([ended[k] for k in keys], pa.int64())], names=["gram", "seen", "ended"])
+
+    counted = attempts.where("raw is not null").select("raw").mapInArrow(run, "gram string, seen long, ended long").groupBy("gram").agg(F.sum("seen").alias("seen"), F.sum("ended").alias("ended"))
+    return {r["gram"]: (r["seen"], r["ended"]) for r in counted.where((F.col("seen") >= least) & (F.col("ended") > 0)).collect()}
 
 
 @dataclass(frozen=True)
@@ -207,7 +217,7 @@ def defect(raw: str | None, user: str | None, models: Models, *, copied: float =
     reply = read_reply(raw)
     if not reply.says:
         return "empty"
-    if REFUSALS.search(reply.text) and reply.kind != "broken":
+    if reply.kind != "broken" and refused(reply.text, models.refusals):
         return "refusal"
     if user and copied_share(reply.text, user) >= copied:
         return "copied_prompt"
@@ -239,12 +249,6 @@ def training_texts(docs: DataFrame, *, per_language: int = 400, least: int = 200
     return [(r["text"], ids[r["doc_id"]]) for r in rows if r["text"]]
 
 
-def training_replies(attempts: DataFrame, *, most: int = 3000) -> list[str]:
-    """At most ``most`` replies, first by a hash of result and attempt."""
-    rows = attempts.where("raw is not null and length(raw) <= 20000").select("result_id", "attempt_index", "raw")
-    return [r["raw"] for r in hash_sample(rows, ["result_id", "attempt_index"], most).select("raw").collect()]
-
-
 def broken_pairs(attempts: DataFrame, results: DataFrame, docs: DataFrame) -> DataFrame:
     """``result_id``, ``attempt_index``, ``defect``: a row for each attempt that is unusable.
 
@@ -252,7 +256,7 @@ def broken_pairs(attempts: DataFrame, results: DataFrame, docs: DataFrame) -> Da
     blank replies are empty; a repeated attempt is judged each time; empty tables give no row. Other columns, also
     ``ok`` and ``errors``, aren't read.
     """
-    models = docs.sparkSession.sparkContext.broadcast(fit(training_texts(docs), training_replies(attempts)))  # bounded by the samples and by the features
+    models = docs.sparkSession.sparkContext.broadcast(fit(training_texts(docs), ends=end_counts(attempts)))  # bounded by the samples, the features and the signs
     users = F.filter("prompt_messages", lambda m: m["role"] == "user")
     prompts = results.select("result_id", F.when(F.size(users) > 0, F.element_at(users, -1)["content"]).alias("user")).where("result_id is not null").dropDuplicates(["result_id"])
     rows = attempts.select("result_id", F.col("attempt_index").cast("int"), "raw").join(prompts, "result_id", "left")
