@@ -89,3 +89,22 @@ def test_tool_rows_over_many_partitions(spark):
     got = c.ordered_rows(c.clean_rows(spark.createDataFrame(data, SCHEMA)), partitions=13, roles=None).collect()
     assert sorted((r["id"], r["position"]) for r in got) == [(i, i) for i in range(320)]
     assert [r["id"] for r in got if r["doubled"]] == [299]
+
+
+def test_pauses_over_full_hours_count(spark):
+    slow = rows(*[(i, "slow", "user" if i % 2 == 0 else "assistant", "x", 4000 * i, None) for i in range(40)])
+    df = spark.createDataFrame(slow, SCHEMA)
+    assert c.calibrated_gap(df) == 16_000.0
+    both = rows(*[(i, "s", "user" if i % 2 == 0 else "assistant", "x", 7200 * (i // 8) * 5 + 4000 * (i % 8), None) for i in range(80)])
+    gap = c.calibrated_gap(spark.createDataFrame(both, SCHEMA))
+    parts = {r["part"] for r in c.conversations(spark.createDataFrame(both, SCHEMA), gap_seconds=gap / 4).collect()}
+    assert len(parts) == 10
+
+
+def test_roles_are_inferred(spark):
+    data = [(*r, tools) for r, tools in zip(rows(
+        (1, "s", "Human", "q", 0, None), (2, "s", None, "a", 1, None), (3, "s", "user", "q", 2, None), (4, "s", " AI ", "a", 3, None), (5, "s", "", "q", 4, None),
+        (6, "t", None, "first", 0, None), (7, "t", None, "ran it", 1, None), (8, "t", "critic", "hm", 2, None), (9, "t", None, " ", 3, None), (10, None, None, "x", 0, None)), [[], [], None, [], [], [], ["shell"], [], [], []], strict=True)]
+    df = spark.createDataFrame(data, SCHEMA + ", tool_names array<string>")
+    got = {r["id"]: (r["role"], r["told_by"]) for r in c.infer_roles(df).collect()}
+    assert got == {1: ("user", "name"), 2: ("assistant", "turn"), 3: ("user", "written"), 4: ("assistant", "name"), 5: ("user", "turn"), 6: ("user", "turn"), 7: ("assistant", "tools"), 8: ("critic", "written")}

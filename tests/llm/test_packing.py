@@ -43,3 +43,23 @@ def test_rows(spark):
     assert sums[1] == (-(-counts[1] // 512), counts[1]) and 2 not in sums and sums[5] == (2, 2 * counts[5])
     assert all(n == 1 for d, (n, _) in sums.items() if d not in (1, 5))
     assert packing.pack(df.limit(0), "doc_id", "text").count() == 0
+
+
+def cost(groups):
+    return sum(g.capacity * g.count for g in groups)
+
+
+@pytest.mark.parametrize(
+    ("histogram", "least"),
+    [({1500: 10}, 15_360), ({1000: 10}, 10_240), ({600: 7}, 5_120), ({1030: 5}, 7_680), ({2048: 3, 500: 1}, 6_656), ({1300: 4, 700: 4}, 8_192), ({1100: 6, 430: 6}, 9_216)],
+)
+def test_sizes_for_which_the_capacity_matters(histogram, least):
+    assert cost(packing.plan(histogram, (512, 1024, 1536, 2048))) <= least <= cost(packing.plan(histogram, (2048,)))
+
+
+def test_a_hot_size_is_ranked_in_slots(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SLOT_ROWS", 40)
+    df = spark.createDataFrame([(i, "same words in each") for i in range(500)] + [(1000 + i, "other words " * 5) for i in range(60)], "doc_id long, text string")
+    out = packing.pack(df, "doc_id", "text", capacities=(64, 128)).cache()
+    per = out.groupBy("container").agg(F.sum("size").alias("u"), F.first("capacity").alias("c"))
+    assert out.count() == 560 and per.where("u > c").count() == 0 and per.agg(F.sum("u") / F.sum("c")).first()[0] > 0.9

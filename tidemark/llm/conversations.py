@@ -42,34 +42,41 @@ def clean_rows(turns: DataFrame) -> DataFrame:
     return rows.withColumn("role", plain_role(F.col("role")))
 
 
-def _walk(channels: list, asked: np.ndarray, times: np.ndarray, gap_us: int | None, carry: tuple | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple | None]:
-    """For sorted rows: position and part within the channel, and whether a user row follows a user row of its part.
+def _walk(channels: list, asked: np.ndarray, times: np.ndarray, gap_us: int | None, carry: tuple | None) -> tuple[dict[str, np.ndarray], tuple | None]:
+    """For sorted rows: position and part within the channel, the pause before a row (-1 for a channel's first), the last
+    ``asked`` of :data:`TALK` before it in its part, and whether a user row follows a user row.
 
     ``asked`` is 1 for a user's row, 0 for an assistant's and -1 for others, which are passed over. ``carry`` is (channel,
     rows so far, parts so far, last time, ``asked`` of the part's last row of :data:`TALK`) of the row before.
     """
     n = len(channels)
-    position, part, doubled = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
     if n == 0:
-        return position, part, doubled, carry
-    last = carry
-    for i in range(n):
-        same = last is not None and last[0] == channels[i]
-        split = same and gap_us is not None and times[i] - last[3] > gap_us
-        position[i] = 0 if not same or split else last[1]
-        part[i] = 0 if not same else last[2] + int(split)
-        before = last[4] if same and not split else -1
-        doubled[i] = asked[i] == 1 and before == 1
-        last = (channels[i], int(position[i]) + 1, int(part[i]), int(times[i]), int(asked[i]) if asked[i] >= 0 else before)
-    return position, part, doubled, last
-
-
-def ordered_rows(rows: DataFrame, *, gap_seconds: float | None = None, partitions: int | None = None, roles: tuple[str, ...] | None = TALK) -> DataFrame:
-    """The rows of :func:`clean_rows` of the given roles (none: of any role) with ``part``, ``position`` (from 0 in each part), ``doubled``.
+        none = np.zeros(0, np.int64)
+        return {"part": none, "position": none, "pause": none, "before": none, "doubled": none.astype(bool)}, carry
+    at, names = np.arange(n), np.array(channels, object)
+    fresh = np.concatenate([[carry is None or carry[0] != names[0]], names[1:] != names[:-1]]).astype(bool)
+    pause = np.diff(times, prepend=times[0] if fresh[0] else carry[3])
+    split = ~fresh & (pause > gap_us) if gap_us is not None else np.zeros(n, bool)
+    begun = np.maximum.accumulate(np.where(fresh | split, at, -1))  # where the part of a row began; -1: before these rows
+    opened = np.maximum.accumulate(np.where(fresh, at, -1))
+    splits = np.cumsum(split)
+    position = np.where(begun >= 0, at - begun, at + (carry[1] if carry else 0))
+    part = np.where(opened >= 0, splits - splits[np.maximum(opened, 0)], splits + (carry[2] if carry else 0))
+    talk = np.concatenate([[-1], np.maximum.accumulate(np.where(asked >= 0, at, -1))[:-1]])
+    kept = carry[4] if carry else -1
+    before = np.where((talk >= 0) & (talk >= begun), asked[np.maximum(talk, 0)], np.where((begun < 0) & (talk < 0), kept, -1))
+    last = (channels[-1], int(position[-1]) + 1, int(part[-1]), int(times[-1]), int(asked[-1] if asked[-1] >= 0 else before[-1]))
+    return {"part": part, "position": position, "pause": np.where(fresh, -1, pause), "before": before, "doubled": (asked == 1) & (before == 1)}, last
+
+
+def ordered_rows(rows: DataFrame, *, gap_seconds: float | None = None, partitions: int | None = None, roles: tuple[str, ...] | None = TALK, unknown: bool = False) -> DataFrame:
+    """The rows of :func:`clean_rows` of the given roles (none: of any role, also without one if ``unknown``) with ``part``,
+    ``position`` (from 0 in each part), ``pause`` (microseconds), ``before`` and ``doubled`` as :func:`_walk` gives them.
 
     With ``gap_seconds``, a channel is split where nothing was said for longer than that.
     """
-    talk = rows.where((F.col("role").isNotNull() if roles is None else F.col("role").isin(*roles)) & F.col("created_at").isNotNull())
+    kept = F.lit(True) if unknown else F.col("role").isNotNull() if roles is None else F.col("role").isin(*roles)
+    talk = rows.where(kept & F.col("created_at").isNotNull())
     n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = ["session_id", "created_at", "id"]
     ordered = cut(talk.select("session_id", "created_at", "id", "role", "content").repartitionByRange(n, *by).sortWithinPartitions(*by))
@@ -87,7 +94,7 @@ def ordered_rows(rows: DataFrame, *, gap_seconds: float | None = None, partition
                 continue
             if first is None:
                 first, first_time = channels[0], int(times[0])
-            *_, last = _walk(channels, asked, times, gap_us, last)
+            _, last = _walk(channels, asked, times, gap_us, last)
         if first is not None:
             yield pa.RecordBatch.from_pydict({"at": [TaskContext.get().partitionId()], "first": [first], "first_time": [first_time], "last": [last[0]], "n": [last[1]], "part": [last[2]], "time": [last[3]], "asked": [last[4]]})
 
@@ -109,23 +116,55 @@ def ordered_rows(rows: DataFrame, *, gap_seconds: float | None = None, partition
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = carries.get(TaskContext.get().partitionId())
         for batch in batches:
-            position, part, doubled, last = _walk(*columns(batch), gap_us, last)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part), pa.array(position), pa.array(doubled)], names=[*batch.schema.names, "part", "position", "doubled"])
+            found, last = _walk(*columns(batch), gap_us, last)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, found.values())], names=[*batch.schema.names, *found])
 
-    return ordered.mapInArrow(number, "session_id string, created_at timestamp, id long, role string, content string, part long, position long, doubled boolean")
+    return ordered.mapInArrow(number, "session_id string, created_at timestamp, id long, role string, content string, part long, position long, pause long, before long, doubled boolean")
 
 
-def calibrated_gap(rows: DataFrame, *, quantile: float = 0.99, factor: float = 4.0) -> float:
-    """Seconds of silence that end a conversation: ``factor`` times a high quantile of the pauses between rows.
+def calibrated_gap(rows: DataFrame, *, quantile: float = 0.99, factor: float = 4.0, apart: float = 0.8) -> float:
+    """Seconds of silence that end a conversation: ``factor`` times a high quantile of the pauses within conversations.
 
-    Pauses are taken per channel and hour of the day's rows, so that no window spans a large channel; infinite without pauses.
+    Pauses of all channels count, over any hour and day. Where their logarithms fall into two classes (the best division
+    explains at least ``apart`` of their variance; of one bell-shaped class it explains 0.64), only the shorter ones are
+    pauses within conversations. Infinite without pauses.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("session_id", F.date_trunc("hour", "created_at")).orderBy("created_at", "id")
-    pause = (F.unix_micros("created_at") - F.unix_micros(F.lag("created_at").over(w))) / 1e6
-    found = rows.where(F.col("created_at").isNotNull()).select(pause.alias("p")).where("p is not null").agg(F.percentile_approx("p", quantile, 10_000)).first()[0]
-    return float("inf") if found is None else factor * float(found)
+    pauses = cut(ordered_rows(rows.withColumn("content", F.lit("")), roles=None).where("pause >= 0").select((F.col("pause") / 1e6).alias("p")))
+    counted = pauses.groupBy(F.floor(F.log2(F.greatest("p", F.lit(1e-6))) * 16).cast("int").alias("b")).count().collect()  # a few hundred at most
+    if not counted:
+        return float("inf")
+    x = np.array(sorted((r["b"], r["count"]) for r in counted), float)
+    n, total = x[:, 1], x[:, 1].sum()
+    mean = (x[:, 0] * n).sum() / total
+    spread = (((x[:, 0] - mean) ** 2) * n).sum()
+    below, moment = np.cumsum(n)[:-1], np.cumsum(x[:, 0] * n)[:-1]
+    between = below * (moment / below - mean) ** 2 + (total - below) * ((mean * total - moment) / (total - below) - mean) ** 2
+    if len(between) and spread and between.max() >= apart * spread:
+        pauses = pauses.where(F.floor(F.log2(F.greatest("p", F.lit(1e-6))) * 16) <= int(x[int(between.argmax()), 0]))
+    return factor * float(pauses.agg(F.percentile_approx("p", quantile, 10_000)).first()[0])
+
+
+# Other names of the two roles that talk.
+ROLE_NAMES = {"human": "user", "customer": "user", "prompter": "user", "you": "user", "me": "user", "ai": "assistant", "bot": "assistant", "model": "assistant", "agent": "assistant", "gpt": "assistant", "chatbot": "assistant"}
+
+
+def infer_roles(turns: DataFrame) -> DataFrame:
+    """``id``, ``session_id``, ``role``, ``told_by``: the role of every row that has something to read, a channel and a time.
+
+    Written roles stay (``written``), other names of them are replaced (``name``). A row without a role that names tools is
+    the assistant's (``tools``). Any other answers whoever spoke last before it in its channel (``turn``): the assistant
+    after a user, else the user. Blank rows and later copies of a source_key are left out as in :func:`clean_rows`.
+    """
+    other = F.create_map(*[F.lit(x) for pair in ROLE_NAMES.items() for x in pair])
+    named = clean_rows(turns).withColumn("written", F.col("role"))
+    tools = turns.where(F.size("tool_names") > 0).select("id", F.lit(True).alias("has_tools")).distinct()
+    named = named.join(tools, "id", "left")
+    role = F.coalesce(other[F.col("role")], F.col("role"), F.when(F.col("has_tools"), F.lit("assistant")))
+    # What is known already comes along in the place of the text, which takes no part here.
+    how = F.when(other[F.col("written")].isNotNull(), "name").when(F.col("written").isNotNull(), "written").when(F.col("has_tools"), "tools").otherwise("turn")
+    rows = ordered_rows(named.withColumn("content", how).withColumn("role", role), roles=None, unknown=True)
+    answer = F.when(F.col("before") == 1, "assistant").otherwise("user")
+    return rows.select("id", "session_id", F.coalesce("role", answer).alias("role"), F.col("content").alias("told_by"))
 
 
 def broken_sessions(turns: DataFrame) -> DataFrame:

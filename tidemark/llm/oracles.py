@@ -43,6 +43,7 @@ ORACLES: dict[str, str] = {
         with {_TALK}
         select session_id, row_number() over (partition by session_id order by created_at, id) - 1 as position, r as role, content, epoch_us(created_at) as created_us, id
         from talk where session_id not in (select session_id from dropped)""",
+    "p8_totals": "select count(*) as texts, 0::bigint as texts_not_whole, 0::bigint as containers_overfull, 0::bigint as wasteful from documents where length(text) > 0",
     "p9_found": r"""
         with w as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as ws from documents where text is not null),
         d as (select doc_id, array_to_string(ws[i:i + 11], ' ') as g from (select doc_id, ws, unnest(range(1, len(ws) - 10)) as i from w where len(ws) >= 12)),

@@ -3,7 +3,8 @@
 Sizes are whole numbers up to the capacity, so a histogram of at most ``capacity`` entries says all there is to know for
 packing. Variable-capacity best fit decreasing runs on that histogram on the driver, on groups of equal containers; its
 plan has a few thousand lines, whatever the number of texts. Each text then finds its place by its rank among the texts
-of its size, which is made of two parts (a slot by hash, a rank within the slot), so no size needs to fit into one task.
+of its size, which is made of two parts (a slot by hash, a rank within the slot). A size has as many slots as its number of
+texts asks for, so no task ranks more than about ``SLOT_ROWS`` of them.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import base64
 import bisect
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.vocabulary import tokenizer_path
 from tidemark.session import cut
 
-SLOTS = 64
+SLOT_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -39,46 +40,54 @@ class Group:
         return sum(s * n for s, n in self.contents)
 
 
-def best_fit(histogram: dict[int, int], opened: int) -> list[Group]:
-    """Best fit decreasing with new containers of ``opened``, over groups of equal containers."""
-    free: dict[int, list[tuple[int, tuple]]] = defaultdict(list)  # room left -> groups of (count, contents)
+def best_fit(histogram: dict[int, int], choose: Callable[[int, int, int], int]) -> list[Group]:
+    """Best fit decreasing over groups of equal containers.
+
+    Where no open container has room, ``choose`` (size, how many of it are left, tokens in smaller sizes) says which
+    capacity is opened for as many of that size as it holds.
+    """
+    free: dict[int, list[tuple[int, int, tuple]]] = defaultdict(list)  # room left -> groups of (capacity, count, contents)
     rooms: list[int] = []
+    smaller = sum(s * n for s, n in histogram.items())
 
-    def put(room: int, count: int, contents: tuple) -> None:
+    def put(room: int, capacity: int, count: int, contents: tuple) -> None:
         if count:
             if not free[room]:
                 bisect.insort(rooms, room)
-            free[room].append((count, contents))
+            free[room].append((capacity, count, contents))
 
     for size in sorted(histogram, reverse=True):
         left = histogram[size]
+        smaller -= size * left
         while left:
             at = bisect.bisect_left(rooms, size)
             if at < len(rooms):
                 room = rooms[at]
-                count, contents = free[room].pop()
+                capacity, count, contents = free[room].pop()
                 if not free[room]:
                     rooms.pop(at)
             else:
-                room, count, contents = opened, -(-left // (opened // size)), ()
+                room = capacity = choose(size, left, smaller)
+                count, contents = max(1, left // (capacity // size)), ()  # what remains of this size is opened for anew
             each = room // size
             full = min(count, left // each)
-            put(room - each * size, full, (*contents, (size, each)))
+            put(room - each * size, capacity, full, (*contents, (size, each)))
             left -= full * each
             count -= full
             if count and left:
-                put(room - left * size, 1, (*contents, (size, left)))
+                put(room - left * size, capacity, 1, (*contents, (size, left)))
                 left, count = 0, count - 1
             if contents:
-                put(room, count, contents)
-    return [Group(opened, count, contents) for groups in free.values() for count, contents in groups]
+                put(room, capacity, count, contents)
+    return [Group(capacity, count, contents) for groups in free.values() for capacity, count, contents in groups]
 
 
 def plan(histogram: dict[int, int], capacities: tuple[int, ...]) -> list[Group]:
     """The cheapest packing over the permitted capacities; cost is the sum of the capacities used.
 
-    Every capacity is tried as the one to open for each class of sizes it is the least to hold, jointly with opening the
-    largest for all; at the end each container is downsized to the least capacity that holds its contents.
+    A container is opened at the least cost: the capacity that wastes least on the texts at hand, given that smaller ones
+    may fill its room, the largest of equal ones. The same with each single capacity to open where it fits is tried too,
+    and at the end of each trial every container is downsized to the least capacity that holds its contents.
     """
     caps = sorted(capacities)
     sizes = {s: n for s, n in histogram.items() if n}
@@ -88,13 +97,18 @@ def plan(histogram: dict[int, int], capacities: tuple[int, ...]) -> list[Group]:
     def downsized(groups: list[Group]) -> list[Group]:
         return [Group(caps[bisect.bisect_left(caps, g.used)], g.count, g.contents) for g in groups]
 
-    options = []
-    for least in range(len(caps)):
-        # Sizes above caps[least] go to the largest, with everything smaller filling up; the rest opens caps[least].
-        big = {s: n for s, n in sizes.items() if s > caps[least]}
-        small = {s: n for s, n in sizes.items() if s <= caps[least]}
-        options.append(downsized(best_fit(big, caps[-1])) + downsized(best_fit(small, caps[least])))
-    options.append(downsized(best_fit(sizes, caps[-1])))
+    def least_cost(size: int, left: int, smaller: int) -> int:
+        def waste(c: int) -> float:
+            each = min(c // size, left)
+            room = c - each * size
+            return max(0, room - smaller) / (each * size)
+
+        return min((c for c in caps if c >= size), key=lambda c: (waste(c), -c))
+
+    def mostly(opened: int) -> Callable[[int, int, int], int]:
+        return lambda size, left, smaller: opened if size <= opened else caps[bisect.bisect_left(caps, size)]
+
+    options = [downsized(best_fit(sizes, how)) for how in (least_cost, *(mostly(c) for c in caps))]
     return min(options, key=lambda groups: (sum(g.capacity * g.count for g in groups), sum(g.count for g in groups)))
 
 
@@ -136,11 +150,13 @@ def pack(docs: DataFrame, doc_id: str, text: str, *, capacities: tuple[int, ...]
     ranked by hash and id; an empty table gives an empty one.
     """
     largest = max(capacities)
-    items = cut(pieces(token_counts(docs, doc_id, text, path), largest).withColumn("slot", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SLOTS)).cast("int")))
-    counted = items.groupBy("size", "slot").count().collect()  # at most capacity x SLOTS rows
+    items = cut(pieces(token_counts(docs, doc_id, text, path), largest))
+    per_size = items.groupBy("size").agg(F.ceil(F.count("*") / SLOT_ROWS).cast("int").alias("slots"))  # at most ``largest`` rows
+    items = items.join(F.broadcast(per_size), "size").withColumn("slot", F.pmod(F.xxhash64("doc_id", "piece"), F.col("slots")).cast("int")).drop("slots")
+    counted = items.groupBy("size", "slot").count().collect()  # a row for each size, and one for each SLOT_ROWS texts
     by_size: dict[int, np.ndarray] = {}
-    for r in counted:
-        by_size.setdefault(r["size"], np.zeros(SLOTS, np.int64))[r["slot"]] = r["count"]
+    for r in sorted(counted, key=lambda r: -r["slot"]):
+        by_size.setdefault(r["size"], np.zeros(r["slot"] + 1, np.int64))[r["slot"]] = r["count"]
     groups = plan({s: int(n.sum()) for s, n in by_size.items()}, tuple(capacities))
 
     starts = {s: np.concatenate([[0], np.cumsum(n)[:-1]]) for s, n in by_size.items()}

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import conversations, leakage, near_dup, neighbours, packing, personal, replies, secrets, shared_spans
-from tidemark.session import tables
+from tidemark.session import cut, tables
 
 TEXTS = (("session_turns", "id", "content"), ("parsed_turns", "delivery_id", "text"))
 STATEMENTS = (("memory_vectors", "id"), ("extracted_preferences", "pref_id"))
@@ -96,6 +96,10 @@ def p6_split_at_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return conversations.conversations(turns, gap_seconds=gap).select("session_id", "part", "position", "role", "id")
 
 
+def p6_roles(spark: SparkSession, sf: str) -> DataFrame:
+    return conversations.infer_roles(tables(spark, sf, "session_turns"))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     near = neighbours.nearest(tables(spark, sf, "memory_vectors"), "id", "embedding")
     return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
@@ -109,6 +113,17 @@ def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(tables(spark, sf, "documents"), "doc_id", "text")
 
 
+def p8_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of any packing: every text is there once and whole, and no container holds more than it can."""
+    docs = tables(spark, sf, "documents")
+    placed = cut(packing.pack(docs, "doc_id", "text"))
+    tokens = packing.token_counts(docs, "doc_id", "text").where("n_tokens > 0")
+    whole = placed.groupBy("doc_id").agg(F.sum("size").alias("n"), F.count("*").alias("pieces"), F.sum(F.when(F.col("start") % 2048 == 0, 0).otherwise(1)).alias("odd"))
+    docs_ok = whole.join(tokens, "doc_id", "full").agg(F.count("*").alias("texts"), F.count_if(~F.col("n").eqNullSafe(F.col("n_tokens")) | (F.col("pieces") != F.ceil(F.col("n_tokens") / 2048)) | (F.col("odd") > 0)).alias("texts_not_whole"))
+    over = placed.groupBy("container", "capacity").agg(F.sum("size").alias("n")).agg(F.count_if(F.col("n") > F.col("capacity")).alias("containers_overfull"), (F.sum("n") < 0.98 * F.sum("capacity")).cast("long").alias("wasteful"))
+    return docs_ok.crossJoin(F.broadcast(over))  # one row each
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.leaks(tables(spark, sf, "documents"), "doc_id", "text", tables(spark, sf, "eval_items"), "item_id", "item_text").select("doc_id", "item_id").distinct()
 
@@ -131,5 +146,5 @@ def p10_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_redacted, p2_found, p2_groups, p4_found, p5_found, p5_masked, p6_found, p6_conversations, p6_all_roles, p6_split_at_gaps, p7_found, p7_neighbours, p8_containers, p9_found, p9_edited, p10_found, p10_amounts, p10_lines)
+    for f in (p1_found, p1_redacted, p2_found, p2_groups, p4_found, p5_found, p5_masked, p6_found, p6_conversations, p6_all_roles, p6_split_at_gaps, p6_roles, p7_found, p7_neighbours, p8_containers, p8_totals, p9_found, p9_edited, p10_found, p10_amounts, p10_lines)
 }
