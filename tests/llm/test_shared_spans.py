@@ -64,3 +64,12 @@ def test_lines(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert ss.shared_spans(df, "doc_id", "text").count() == ss.line_duplicates(df, "doc_id", "text").count() == ss.shared_amounts(df, "doc_id", "text").count() == 0
+
+
+def test_later_lines_are_removed_and_offsets_kept(spark):
+    rows = [(1, "one\ntwo \n\nthree"), (2, "two\nfour\n\none"), (3, None), (4, ""), (5, "one\n one"), (6, "four\nfive")]
+    df = spark.createDataFrame(rows, "id long, body string").selectExpr("*", "1 as kept")
+    got = {r["doc_id"]: (r["text_kept"], [tuple(x) for x in r["kept"]]) for r in ss.without_later_lines(df, "id", "body").collect()}
+    assert got == {1: ("one\ntwo \n\nthree", [(0, 3), (4, 4), (9, 0), (10, 5)]), 2: ("four\n", [(4, 4), (9, 0)]), 3: (None, []), 4: ("", [(0, 0)]), 5: ("", []), 6: ("five", [(5, 4)])}
+    texts = dict(rows)
+    assert all(t is None or t == "\n".join(texts[d][s : s + n] for s, n in spans) for d, (t, spans) in got.items())

@@ -21,27 +21,30 @@ from tidemark.llm.textscan import folded, window_hashes
 FILTER_BITS = 24
 
 
-def longest_aligned(item: list[str], doc: list[str], edits: int) -> int:
+def longest_aligned(item: list[str], doc: list[str], edits: int, band: tuple[int, int] | None = None) -> int:
     """The most consecutive words of ``item`` that stand in ``doc`` with at most ``edits`` words changed, added or left out.
 
-    An alignment starts and ends with an equal word.
+    An alignment starts and ends with an equal word. With ``band``, only cells on its diagonals (place in ``doc`` less place
+    in ``item``, from and to) are looked at.
     """
     best, width = 0, len(doc) + 1
+    low, high = band if band else (-len(item), len(doc))
     prev = [[-1] * width for _ in range(edits + 1)]
-    for word in item:
+    for i, word in enumerate(item):
         rows = [[-1] * width for _ in range(edits + 1)]
-        for e in range(edits + 1):
-            row, above = rows[e], prev[e]
-            for j in range(1, width):
-                if word == doc[j - 1]:
-                    row[j] = max(above[j - 1], 0) + 1
-                    if row[j] > best:
-                        best = row[j]
+        for j in range(max(1, i + low + 1), min(width, i + high + 2)):
+            same = word == doc[j - 1]
+            for e in range(edits + 1):
+                if same:
+                    n = max(prev[e][j - 1], 0) + 1
+                    if n > best:
+                        best = n
                 elif e:
-                    less, over = rows[e - 1], prev[e - 1]
-                    change = over[j - 1] + 1 if over[j - 1] > 0 else -1
-                    leave = over[j] + 1 if over[j] > 0 else -1
-                    row[j] = max(change, leave, less[j - 1])
+                    over = prev[e - 1]
+                    n = max(over[j - 1] + 1 if over[j - 1] > 0 else -1, over[j] + 1 if over[j] > 0 else -1, rows[e - 1][j - 1])
+                else:
+                    continue
+                rows[e][j] = n
         prev = rows
     return best
 
@@ -52,6 +55,7 @@ class _Index:
     def __init__(self, items: list[tuple[int, str]], min_words: int, q: int, edits: int) -> None:
         self.q, self.min_words, self.edits = q, min_words, edits
         self.words: dict[int, list[str]] = {}
+        self.spaces: dict[int, np.ndarray] = {}
         self.need: dict[int, int] = {}  # q-grams that a passage must share in all
         self.run: dict[int, int] = {}  # and in one piece
         hashes, owner, at = [], [], []
@@ -61,6 +65,7 @@ class _Index:
             if len(words) < min_words:
                 continue
             self.words[item] = words
+            self.spaces[item] = np.flatnonzero(x == 32)
             ends = np.cumsum([0, *(len(w) + 1 for w in words)])
             least = int((ends[min_words:] - ends[:-min_words]).min()) + 1
             # An edit of a word destroys the q-grams that touch it; between the edits one run of words stays whole.
@@ -100,40 +105,50 @@ class _Index:
         order = np.lexsort((pos, item))
         item, pos = item[order], pos[order]
         out = []
-        for one, spans in pieces.items():
-            # A passage reaches no further from a piece of it than the item and the edits have words, however long these are.
-            reach = len(self.words[one]) + self.edits
-            windows: list[list[int]] = []
-            for low, high in sorted(spans):
-                first = max(0, int(np.searchsorted(spaces, low, "right")) - 1 - reach)
-                last = min(len(spaces) - 1, int(np.searchsorted(spaces, high, "left")) + reach)
-                if windows and first <= windows[-1][1]:
-                    windows[-1][1] = max(windows[-1][1], last)
-                else:
-                    windows.append([first, last])
+        for one, found in pieces.items():
+            words = self.words[one]
             hits = pos[np.searchsorted(item, one, "left") : np.searchsorted(item, one, "right")]
+            # A piece says on which diagonal of words it lies, and the edits of a passage leave it by no more than themselves.
+            starts = {int(np.searchsorted(spaces, low, "right")) - int(np.searchsorted(self.spaces[one], at, "right")) for low, at in found}
             best = 0
-            for first, last in windows:
+            for d in sorted(starts):
+                first, last = max(0, d - self.edits), min(len(spaces) - 1, d + len(words) + self.edits)
                 start, end = spaces[first], spaces[last]
                 if np.searchsorted(hits, end, "right") - np.searchsorted(hits, start, "left") >= self.need[one]:
-                    best = max(best, longest_aligned(self.words[one], "".join(map(chr, x[start : end + 1])).split(), self.edits))
+                    around = "".join(map(chr, x[start : end + 1])).split()
+                    best = max(best, longest_aligned(words, around, self.edits, (d - first - self.edits, d - first + self.edits)))
+                if best == len(words):
+                    break
             if best >= self.min_words:
                 out.append((one, best))
         return out
 
     def _pieces(self, item: np.ndarray, diagonal: np.ndarray, pos: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """For each item the stretches of the text that are long enough pieces of it: first and last character."""
+        """For each item the stretches of the text that are long enough pieces of it: where they begin in the text and in the item."""
         order = np.lexsort((pos, diagonal, item))
         i, d, p = item[order], diagonal[order], pos[order]
         starts = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1)]))
         lengths = np.diff(np.concatenate([starts, [len(i)]]))
         out: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for one, low, n in zip(i[starts].tolist(), p[starts].tolist(), lengths.tolist(), strict=True):
+        for one, low, diag, n in zip(i[starts].tolist(), p[starts].tolist(), d[starts].tolist(), lengths.tolist(), strict=True):
             if n >= self.run[one]:
-                out[one].append((low, low + n + self.q - 2))
+                out[one].append((low, low - diag))
         return out
 
 
+def _blocks(items: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of at most ``most`` characters (or one item); the driver holds one block at a time."""
+    block: list[tuple[int, str]] = []
+    size = 0
+    for r in items.where("i is not null and t is not null").toLocalIterator():
+        if size + len(r["t"]) > most and block:
+            yield block
+            block, size = [], 0
+        block.append((r["i"], r["t"]))
+        size += len(r["t"])
+    yield block
+
+
 def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, *, min_words: int = 12, q: int = 16, edits: int = 0, block_chars: int = 4_000_000) -> DataFrame:
     """``doc_id``, ``item_id`` and ``n_words``: documents that hold at least ``min_words`` consecutive words of an item.
 
@@ -142,18 +157,10 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
     document; whole texts are read whatever their length; other columns aren't read. Items are held by the driver and
     shipped ``block_chars`` characters at a time.
     """
-    blocks: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for r in items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").toLocalIterator():
-        if size + len(r["t"]) > block_chars and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r["i"], r["t"]))
-        size += len(r["t"])
     schema = "doc_id long, item_id long, n_words int"
     rows = docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string"))
     out: DataFrame | None = None
-    for block in blocks:
+    for block in _blocks(items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")), block_chars):
         sent = docs.sparkSession.sparkContext.broadcast(block)  # at most block_chars characters, or one item
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001

@@ -55,6 +55,13 @@ ORACLES: dict[str, str] = {
                    from (select doc_id, text, unnest(range(1, length(text) - 298)) as i from documents where length(text) >= 300)),
         o as (select distinct doc_id, g from w where g in (select g from w group by g having count(distinct doc_id) > 1))
         select distinct a.doc_id as doc_a, b.doc_id as doc_b from o a join o b on a.g = b.g and a.doc_id < b.doc_id""",
+    "p10_deduplicated": r"""
+        with t as (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null),
+        l as (select doc_id, k as line_no, ls[k] as line from (select doc_id, ls, unnest(range(1, len(ls) + 1)) as k from t)),
+        n as (select *, regexp_replace(regexp_replace(line, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '[\s\p{Z}]+', ' ', 'g') as n from l),
+        r as (select *, row_number() over (partition by n order by doc_id, line_no) as k from n),
+        kept as (select doc_id, string_agg(line, chr(10) order by line_no) as text_kept from r where length(n) = 0 or k = 1 group by doc_id)
+        select doc_id, case when text is null then null else coalesce(text_kept, '') end as text_kept from documents left join kept using (doc_id)""",
     "p10_lines": r"""
         with t as (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null),
         l as (select doc_id, k as line_no, ls[k] as line,

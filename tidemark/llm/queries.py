@@ -144,7 +144,11 @@ def p10_lines(spark: SparkSession, sf: str) -> DataFrame:
     return shared_spans.line_duplicates(tables(spark, sf, "documents"), "doc_id", "text", least_chars=1)
 
 
+def p10_deduplicated(spark: SparkSession, sf: str) -> DataFrame:
+    return shared_spans.without_later_lines(tables(spark, sf, "documents"), "doc_id", "text").select("doc_id", "text_kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_redacted, p2_found, p2_groups, p4_found, p5_found, p5_masked, p6_found, p6_conversations, p6_all_roles, p6_split_at_gaps, p6_roles, p7_found, p7_neighbours, p8_containers, p8_totals, p9_found, p9_edited, p10_found, p10_amounts, p10_lines)
+    for f in (p1_found, p1_redacted, p2_found, p2_groups, p4_found, p5_found, p5_masked, p6_found, p6_conversations, p6_all_roles, p6_split_at_gaps, p6_roles, p7_found, p7_neighbours, p8_containers, p8_totals, p9_found, p9_edited, p10_found, p10_amounts, p10_lines, p10_deduplicated)
 }

@@ -56,6 +56,35 @@ def line_duplicates(docs: DataFrame, doc_id: str, text: str, *, least_chars: int
     return found.select("doc_id", "line_no", "start", "length", F.col("f.doc_id").alias("first_doc"), F.col("f.line_no").alias("first_line"))
 
 
+def without_later_lines(docs: DataFrame, doc_id: str, text: str, *, least_chars: int = 1) -> DataFrame:
+    """``doc_id``, ``text_kept``, ``kept``: each text without the lines that stand earlier (:func:`line_duplicates`).
+
+    ``kept`` holds the stretches of the given text that are left (``start``, ``length`` in code points), line by line; they
+    are joined by line feeds. A null text stays null; a text of which nothing is left is empty. A doc_id that occurs
+    twice is one document.
+    """
+    again = line_duplicates(docs, doc_id, text, least_chars=least_chars)
+    gone = again.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))  # lines of one text
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).dropDuplicates(["doc_id"]).join(gone, "doc_id", "left")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, spans = [], []
+            for t, removed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                left, at, out = set(removed or ()), 0, []
+                lines = [] if t is None else t.split("\n")
+                for k, line in enumerate(lines):
+                    if k + 1 not in left:
+                        out.append((at, len(line)))
+                    at += len(line) + 1
+                texts.append(None if t is None else "\n".join(t[s : s + n] for s, n in out))
+                spans.append([{"start": s, "length": n} for s, n in out])
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(spans, kind)], names=["doc_id", "text_kept", "kept"])
+
+    return rows.select("doc_id", "t", "gone").mapInArrow(keep, "doc_id long, text_kept string, kept array<struct<start: int, length: int>>")
+
+
 def _text_classes(docs: DataFrame, doc_id: str, text: str, least: int) -> tuple[DataFrame, DataFrame]:
     """Texts of enough characters, one of each (``doc``, ``text``), and all who bear one (``doc``, ``id``)."""
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where(F.col("id").isNotNull() & (F.length("text") >= least))
