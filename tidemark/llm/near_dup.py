@@ -200,22 +200,29 @@ def compared(classes: DataFrame, *, threshold: float, pairs: bool = False) -> Da
     def prefix(k: int) -> Column:
         return F.slice("w", F.lit(1), F.least(n, most + k))
 
-    ones = F.transform(prefix(1), lambda x: F.struct(x.alias("one"), F.lit(-1).alias("two")))
-    twos = F.flatten(F.transform(prefix(2), lambda x: F.transform(F.filter(prefix(2), lambda y: y > x), lambda y: F.struct(x.alias("one"), y.alias("two")))))
-    none = F.array().cast("array<struct<one: int, two: int>>")
+    # A key is a number: the first word in its upper half, the second or none (all bits) in the lower.
+    none, high = F.lit((1 << 32) - 1), F.lit(1 << 32)
+    ones = F.transform(prefix(1), lambda x: x.cast("long") * high + none)
+    twos = F.flatten(F.transform(prefix(2), lambda x: F.transform(F.filter(prefix(2), lambda y: y > x), lambda y: x.cast("long") * high + y)))
+    empty = F.array().cast("array<long>")
     # A set takes the keys that any set similar to it may need: single words if either may be long, or only one is in common.
-    keys = F.concat(F.when(n <= LONGEST, twos).otherwise(none), F.when((n > threshold * LONGEST - 1e-9) | (n <= 1 / threshold + 1e-9), ones).otherwise(none))
+    keys = F.concat(F.when(n <= LONGEST, twos).otherwise(empty), F.when((n > threshold * LONGEST - 1e-9) | (n <= 1 / threshold + 1e-9), ones).otherwise(empty))
     whole = cut(ranked(classes))
-    spread = whole.select("cls", "w", F.explode(keys).alias("key")).select("cls", "w", "key.one", "key.two")
-    large = spread.groupBy("one", "two").count().where(F.col("count") > BLOCK).select("one", "two", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    rows = spread.join(large, ["one", "two"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("one", "two", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "w")
-    by = ["one", "two", "i", "j"]
-
-    def task(key: tuple[int, int, int, int], held: list[tuple[int, int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    keyed = whole.select("cls", F.explode(keys).alias("key"))
+    # Most keys belong to one set alone; only sets that meet another are sent, and their words with them.
+    shared = keyed.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    live = keyed.join(shared, "key").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    live = live.select("key", (F.least("block", "other").cast("long") * high + F.greatest("block", "other")).alias("cell"), "block", "cls")
+    rows = live.join(whole, "cls").select("key", "cell", "block", "cls", "w")
+    by = ["key", "cell"]
+
+    def parted(key: int, cell: int) -> tuple[int, int, int, int]:
+        low = (1 << 32) - 1
+        return key >> 32, -1 if key & low == low else key & low, cell >> 32, cell & low
+
+    def task(key: tuple[int, int], held: list[tuple[int, int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
         cls = np.array([c for _, c, _ in held], dtype=np.int64)
-        a, b = _linked(key, np.array([x for x, _, _ in held]), [s for *_, s in held], threshold)
+        a, b = _linked(parted(*key), np.array([x for x, _, _ in held]), [s for *_, s in held], threshold)
         if not len(a):
             return None
         if pairs:
@@ -240,8 +247,8 @@ def compared(classes: DataFrame, *, threshold: float, pairs: bool = False) -> Da
 
         for batch in batches:
             out = []
-            offsets, flat = np.array(batch.column(6).offsets), np.array(batch.column(6).values)
-            cols = [batch.column(k).to_pylist() for k in range(6)]
+            offsets, flat = np.array(batch.column(4).offsets), np.array(batch.column(4).values)
+            cols = [batch.column(k).to_pylist() for k in range(4)]
             for r, (*key, block, cls) in enumerate(zip(*cols, strict=True)):
                 if tuple(key) != last:
                     if len(held) > 1 and (got := task(last, held)):
