@@ -98,3 +98,38 @@ def test_engine(spark, engine):
     assert engine.health()["tables"]["turns"] == 15
     engine.archive(hit["id"], now)
     assert engine.list_memories(now, include_closed=False).count() == 2
+
+
+def test_what_is_appended_to_a_log_reaches_the_stream(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    p = write(logs, "a.jsonl", [record("user", "one", None, "u1"), record("assistant", "half", "m1", "u2")])
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+
+    def go(hot):
+        ingest_stream(spark, str(logs), store, str(tmp_path / "c"), hot_seconds=hot).awaitTermination()
+        return sorted(r["content"] for r in store.read("turns").select("content").collect())
+
+    assert go(3600) == ["one"]  # the group at the end may still grow
+    with p.open("a") as f:
+        f.write(json.dumps(record("assistant", "more", "m1", "u3")) + "\n")
+    assert go(0) == ["half\nmore", "one"]
+    engine = MemoryEngine(spark, str(tmp_path / "store"))
+    assert engine.list_summaries().count() == 1 and engine.daily_review("2026-02-01").first()["card"] is not None
+    assert engine.get_summary("2026-02-01").first()["generated_by"] == "rule"
+
+
+def test_an_unfinished_version_is_no_version(spark, tmp_path):
+    s = SnapshotStore(spark, str(tmp_path))
+    s.publish("t", spark.range(3))
+    broken = tmp_path / "t" / "v2"
+    broken.mkdir()
+    (broken / "part-0.parquet").write_bytes(b"torn")
+    assert s.version("t") == 1 and s.read("t").count() == 3
+    s.append("t", spark.range(2), "batch/7")
+    s.append("t", spark.range(2), "batch/7")
+    assert s.read("t").count() == 5 and s.version("t") == 2 and s.has_tag("t", "batch/7")
+    s.publish("t", s.read("t"))
+    s.publish("t", s.read("t"))
+    s.vacuum("t", keep=1)
+    assert s.read("t").count() == 5 and s.increments("t") == 0

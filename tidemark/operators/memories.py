@@ -153,16 +153,25 @@ def preview_writes(memories: DataFrame, writes: DataFrame, settings: Settings =
 EVENTS = "event string, event_ts timestamp, seq long, id long, other long, namespace string, category string, content string, embedding array<float>, decay_factor float"
 
 
-def block_pairs(rows: DataFrame, threshold: float, *, unit: bool, block: int = 2000) -> DataFrame:
+def block_pairs(rows: DataFrame, threshold: float, *, unit: bool, block: int = 2000, negative_only: bool = False) -> DataFrame:
     """``a`` < ``b``, ``similarity`` of the rows (``k``, ``id``, ``embedding``) of one key that are similar enough.
 
     Keys are cut into blocks by a hash of the id and each pair of blocks is one task of bounded size. With ``unit``,
-    vectors are brought to unit length first; rows without a direction or of another width have no pairs.
+    vectors are brought to unit length first; rows without a direction or of another width have no pairs. With
+    ``negative_only``, rows of negative ids are compared with all rows and the others not among themselves: blocks hold
+    one kind, and a pair of blocks without a negative one is no task.
     """
     usable = rows.where(F.col("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0))
-    sizes = usable.groupBy("k").agg(F.greatest(F.lit(1).cast("long"), F.ceil(F.count("*") / block)).alias("n"))
-    cells = usable.join(sizes, "k").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("n")))
-    tasks = cells.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).select("k", F.least("mine", "o").alias("x"), F.greatest("mine", "o").alias("y"), "mine", "id", "embedding")
+    if negative_only:
+        # Blocks of negative rows come first; a block of the others meets those alone.
+        kinds = usable.groupBy("k").agg(F.ceil(F.count_if(F.col("id") < 0) / block).alias("m"), F.ceil(F.count_if(F.col("id") >= 0) / block).alias("n")).where("m > 0")
+        cells = usable.join(kinds, "k").withColumn("mine", F.when(F.col("id") < 0, F.pmod(F.xxhash64("id"), F.col("m"))).otherwise(F.col("m") + F.pmod(F.xxhash64("id"), F.greatest(F.col("n"), F.lit(1)))))
+        others = F.sequence(F.lit(0).cast("long"), F.when(F.col("id") < 0, F.col("m") + F.col("n")).otherwise(F.col("m")) - 1)
+    else:
+        sizes = usable.groupBy("k").agg(F.greatest(F.lit(1).cast("long"), F.ceil(F.count("*") / block)).alias("n"))
+        cells = usable.join(sizes, "k").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("n")))
+        others = F.sequence(F.lit(0).cast("long"), F.col("n") - 1)
+    tasks = cells.withColumn("o", F.explode(others)).select("k", F.least("mine", "o").alias("x"), F.greatest("mine", "o").alias("y"), "mine", "id", "embedding")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})]
@@ -190,7 +199,7 @@ def write_events(memories: DataFrame, writes: DataFrame, settings: Settings = DE
     """
     key = F.concat_ws("|", "namespace", "category").alias("k")
     nodes = memories.where("valid_at is null and id >= 0").select(key, "id", "embedding").unionByName(writes.select(key, (-F.col("write_id")).alias("id"), "embedding"))
-    pairs = cut(block_pairs(nodes, min(settings.conflict_threshold, settings.dedup_threshold), unit=True).where("a < 0"))
+    pairs = cut(block_pairs(nodes, min(settings.conflict_threshold, settings.dedup_threshold), unit=True, negative_only=True).where("a < 0"))
     label = components(pairs)
     facts = writes.select((-F.col("write_id")).alias("node"), "written_at", F.coalesce("supersede", F.lit(False)).alias("supersede"))
     linked = label.join(facts, "node", "left").select("component", F.struct("node", "written_at", "supersede").alias("w"))

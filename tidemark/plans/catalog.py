@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import deliveries, memory, text, turn
+from tidemark.plans import deliveries, logs, memory, text, turn
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-for module in (memory, turn, text, deliveries):
+for module in (memory, turn, text, deliveries, logs):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
