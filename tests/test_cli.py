@@ -53,3 +53,32 @@ def test_samples_are_stable_and_bounded(spark):
     a = [r[0] for r in hash_sample(rows, ["id"], 100).collect()]
     assert len(a) == 100 and a == [r[0] for r in hash_sample(rows.repartition(7), ["id"], 100).collect()]
     assert hash_sample(spark.range(5), ["id"], 100).count() == 5
+
+
+def make_provider():
+    import json
+
+    draft = {"narrative": "Shipped the parser and wrote all of its tests before noon.", "highlights": ["parser shipped"], "preferences": [{"content": "Prefers short functions.", "category": "coding_style", "confidence": 0.9, "evidence": "said so"}], "open_threads": []}
+    return lambda messages: json.dumps(draft)
+
+
+def test_extract_replay_split_and_reembed(spark, tmp_path):
+    logs, store, log = tmp_path / "logs", str(tmp_path / "store"), str(tmp_path / "log")
+    logs.mkdir()
+    write(logs, "a.jsonl", [record("user", f"line {i}", None, f"u{i}", timestamp="2026-02-01T17:00:00Z") for i in range(7)])
+
+    def go(*argv):
+        return run(spark, ["--store", store, "--now", "2030-01-01 00:00:00", *argv])
+
+    go("ingest", "--source", "nested", "--root", str(logs))
+    want = ("extract", "--provider", "tests.test_cli:make_provider", "--log", log)
+    assert go(*want, "--dry-run") == {"prompts": 1}
+    assert go(*want) == {"cards": 1, "narratives": 1, "inserted": 1}
+    assert go(*want) == {"cards": 0, "narratives": 0}
+    cards = SnapshotStore(spark, store).read("cards")
+    assert cards.where("session_id is null").first()["narrative"].startswith("Shipped") and cards.count() == 2
+    go("rebuild-cards")
+    assert SnapshotStore(spark, store).read("cards").where("narrative is not null").count() == 1
+    assert go("replay", "--log", log) == {"pairs": 1, "missing": 0, "preferences": 1, "refreshed": 1}
+    assert sum(go("split", "--log", log, "--out", str(tmp_path / "out")).values()) == 1
+    assert go("reembed", "--dim", "16", "--apply") == {"rows": 1, "merged": 0}
